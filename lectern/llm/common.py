@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Callable
 
@@ -93,3 +95,17 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def per_worker(key, make: Callable):
+    """What ``make`` returns, made once in each Python worker process.
+
+    Functions reach executors by value, with module globals of their own for
+    every task; a module in ``sys.modules`` outlives them.
+    """
+    held = sys.modules.setdefault("_lectern_worker", types.ModuleType("_lectern_worker"))
+    if not hasattr(held, "made"):
+        held.made = {}
+    if key not in held.made:
+        held.made[key] = make()
+    return held.made[key]

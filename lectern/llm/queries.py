@@ -3,13 +3,21 @@
 from __future__ import annotations
 
 from . import oracles
+from .langid import op7_language_id
+from .media import op1_media_columns
+from .packing import op9_packing
+from .pieces import op6_sentencepiece
 from .quality import op5_quality_rules
 from .sharding import op10_sharding
 from .urls import op8_url_filters
 
 QUERIES = {
+    "op1_media_columns": op1_media_columns,
     "op5_quality_rules": op5_quality_rules,
+    "op6_sentencepiece": op6_sentencepiece,
+    "op7_language_id": op7_language_id,
     "op8_url_filters": op8_url_filters,
+    "op9_packing": op9_packing,
     "op10_sharding": op10_sharding,
 }
 
