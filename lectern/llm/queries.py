@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import oracles
 from .langid import op7_language_id
 from .media import op1_media_columns
+from .neardup import op4_minhash
 from .packing import op9_packing
 from .pieces import op6_sentencepiece
 from .quality import op5_quality_rules
@@ -13,6 +14,7 @@ from .urls import op8_url_filters
 
 QUERIES = {
     "op1_media_columns": op1_media_columns,
+    "op4_minhash": op4_minhash,
     "op5_quality_rules": op5_quality_rules,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_language_id": op7_language_id,
