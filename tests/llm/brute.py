@@ -49,3 +49,18 @@ def near_components(texts, size, least):
     sets = {k: word_shingles(t, size) for k, t in texts.items()}
     found = roots(sets, similar_pairs({k: s for k, s in sets.items() if s}, least))
     return {k: (len(sets[k]), found[k]) for k in sets}
+
+
+def line_fates(texts, size, least):
+    """(doc, line) -> kept (doc, line) for every line with a word."""
+    first, sets, of = {}, {}, {}
+    for doc in sorted(texts):
+        for k, line in enumerate((texts[doc] or "").split("\n")):
+            line = line.strip(" \t\n\x0b\x0c\r")
+            if line:
+                of[doc, k] = line
+                first.setdefault(line, (doc, k))
+    for line, place in first.items():
+        sets[place] = frozenset(line[i : i + size] for i in range(max(1, len(line) - size + 1)))
+    found = roots(sets, similar_pairs(sets, least))
+    return {place: found[first[line]] for place, line in of.items()}
