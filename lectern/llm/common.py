@@ -78,6 +78,8 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     if not _made:
         atexit.register(_sweep)
     _made.append((spark, path))
+    # Shuffle files of finished steps go when the driver collects its garbage.
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

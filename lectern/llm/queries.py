@@ -11,10 +11,12 @@ from .packing import op9_packing
 from .pieces import op6_sentencepiece
 from .quality import op5_quality_rules
 from .sharding import op10_sharding
+from .suffixes import op2_suffix_dedup
 from .urls import op8_url_filters
 
 QUERIES = {
     "op1_media_columns": op1_media_columns,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_line_dedup": op3_line_dedup,
     "op4_minhash": op4_minhash,
     "op5_quality_rules": op5_quality_rules,

@@ -64,3 +64,21 @@ def line_fates(texts, size, least):
         sets[place] = frozenset(line[i : i + size] for i in range(max(1, len(line) - size + 1)))
     found = roots(sets, similar_pairs(sets, least))
     return {place: found[first[line]] for place, line in of.items()}
+
+
+def repeated_cover(texts, length):
+    """doc -> bytes flags: covered by a string of ``length`` bytes that starts elsewhere too."""
+    seen = Counter()
+    bodies = {k: (t or "").encode() for k, t in texts.items()}
+    for b in bodies.values():
+        seen.update(hash(b[i : i + length]) for i in range(len(b) - length + 1))
+    out = {}
+    for k, b in bodies.items():
+        flags, until = bytearray(len(b)), 0
+        for i in range(len(b) - length + 1):
+            if seen[hash(b[i : i + length])] > 1:
+                for j in range(max(i, until), i + length):
+                    flags[j] = 1
+                until = i + length
+        out[k] = bytes(flags)
+    return out
