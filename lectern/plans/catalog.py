@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import documents, relations, reporting
+
+QUERIES = {**documents.QUERIES, **relations.QUERIES, **reporting.QUERIES}
+ORACLE_SQL = {**documents.SQL, **relations.SQL, **reporting.SQL}
