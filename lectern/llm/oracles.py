@@ -51,3 +51,35 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        round(mean_word_chars, 6) AS mean_word_chars, round(symbol_ratio, 6) AS symbol_ratio,
        round(stop_word_ratio, 6) AS stop_word_ratio, round(dup_line_ratio, 6) AS dup_line_ratio
 FROM r"""
+
+
+def op8_sql() -> str:
+    from .urls import LIMIT, RULES, SECOND_LEVEL, STRENGTH, Z
+
+    two = _list(SECOND_LEVEL)
+    rules = sorted(RULES, key=lambda r: (-len(r[0]), r[0]))
+    fits = []
+    for rule, _ in rules:
+        host, slash, rest = rule.partition("/")
+        fits.append(f"WHEN (host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{slash}{rest}') THEN '{rule}'")
+    said = " ".join(f"WHEN rule = '{rule}' THEN '{verdict}'" for rule, verdict in RULES)
+    return rf"""
+WITH p AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+l AS (SELECT doc_id, max((toxic = 1 OR quality = 0)::INT) AS bad FROM labels GROUP BY doc_id),
+h AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad FROM p LEFT JOIN l ON page_id = doc_id GROUP BY host),
+s AS (SELECT *, string_split(host, '.') AS ls FROM h),
+t AS (SELECT host, n, bad, array_to_string(ls[greatest(len(ls) - 1, 1):], '.') AS two, ls FROM s),
+k AS (SELECT host, n, bad, CASE WHEN list_contains({two}, two) THEN array_to_string(ls[greatest(len(ls) - 2, 1):], '.') ELSE two END AS domain,
+             CASE WHEN list_contains({two}, two) THEN two ELSE ls[len(ls)] END AS suffix FROM t),
+d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM k GROUP BY ALL),
+u AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY ALL),
+r AS (SELECT (sum(bad) + 0.5::DOUBLE) / (sum(n) + 1.0::DOUBLE) AS rate FROM u),
+ur AS (SELECT suffix, (bad + {STRENGTH[0]}::DOUBLE * r.rate) / (n + {STRENGTH[0]}::DOUBLE) AS rate FROM u, r),
+dr AS (SELECT domain, (d.bad + {STRENGTH[1]}::DOUBLE * ur.rate) / (d.n + {STRENGTH[1]}::DOUBLE) AS rate FROM d JOIN ur USING (suffix)),
+ab AS (SELECT host, bad + {STRENGTH[2]}::DOUBLE * dr.rate AS a, n + {STRENGTH[2]}::DOUBLE AS m FROM k JOIN dr USING (domain)),
+hr AS (SELECT host, a / m AS mean, sqrt(a * (m - a) / (m * m * (m + 1.0::DOUBLE))) AS sd FROM ab),
+o AS (SELECT page_id, host, path, CASE {' '.join(fits)} END AS rule, mean, mean - {Z}::DOUBLE * sd AS bound FROM p JOIN hr USING (host))
+SELECT page_id, host, path, rule, CASE {said} WHEN bound > {LIMIT}::DOUBLE THEN 'block' ELSE 'allow' END AS verdict,
+       round(mean, 6) AS bad_rate, round(bound, 6) AS bad_bound FROM o"""

@@ -29,4 +29,5 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op5_quality_rules": oracles.op5_sql(),
+    "op8_url_filters": oracles.op8_sql(),
 }

@@ -82,7 +82,8 @@ def filter_urls(pages: DataFrame, labels: DataFrame, page_id: str = "page_id", u
     """One row a page: page_id, host, path, rule, verdict, and the bound.
 
     ``labels``: (page_id, bad) for some pages; labels of no page, with a null
-    id or a null outcome count for nothing. A null url, or one without ``://``,
+    id or a null outcome count for nothing; of several for one page the worst
+    counts. A null url, or one without ``://``,
     has empty host and path and the reputation of the empty host. Repeated
     pages get equal rows. With no labels the root rate is a half, and its
     bound, under the priors' strength, is what unlabelled hosts are held to.
@@ -91,7 +92,7 @@ def filter_urls(pages: DataFrame, labels: DataFrame, page_id: str = "page_id", u
     count, so a host with a third of all pages is split.
     """
     p = pages.select(F.col(page_id), F.col(url).alias("url")).withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))}).drop("url")
-    known = labels.select(F.col(labels.columns[0]).alias("__id"), F.col(labels.columns[1]).cast("int").alias("__bad")).filter("__bad is not null")
+    known = labels.select(F.col(labels.columns[0]).alias("__id"), F.col(labels.columns[1]).cast("int").alias("__bad")).filter("__bad is not null").groupBy("__id").agg(F.max("__bad").alias("__bad"))
     hits = p.join(known, F.col(page_id) == F.col("__id"), "left").groupBy("host").agg(F.count("__bad").alias("n"), F.coalesce(F.sum("__bad"), F.lit(0)).alias("bad"), F.count(F.lit(1)).alias("rows"))
     salts = F.greatest(F.lit(1), F.ceil(F.col("rows") / salt_rows)).cast("int")
     rated = host_reputation(hits).join(hits.select("host", salts.alias("salts")), "host")
