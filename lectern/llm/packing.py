@@ -34,43 +34,75 @@ TASK_BITS = 32
 class WordEncoder:
     """Ids of texts by a ``tokenizers`` file, words kept in a bounded cache.
 
-    The vocabulary's pre-tokenizer drops white space and never joins words
-    across it, so a text's ids are its words' ids in order. New words go
-    through the library together. Texts with characters on whose being white
-    space the two differ go through the library whole.
+    The vocabulary's pre-tokenizer drops white space, joins nothing across it,
+    and parts letters from punctuation; so a text's ids are its words' in
+    order, and a word's are its letters' and its closing mark's. New words go
+    through the library together. Its lower-casing is Python's on Latin-1
+    texts, which share their words' cases here. Texts with characters on whose
+    being white space the two differ go through the library whole.
     """
 
-    ODD = re.compile("[\x1c-\x1f᠎​﻿]")
+    ODD = re.compile("[\x1c-\x1f\u180e\u200b\ufeff]")
+    MARKS = frozenset(".,;:!?")
 
-    def __init__(self, path: str, most: int = 400_000) -> None:
+    def __init__(self, path: str, most: int = 1_000_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.most = most
         self.known: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, fresh: list[str]) -> None:
-        for at in range(0, len(fresh), 4096):
-            part = fresh[at : at + 4096]
+    def _learn(self, fresh: set[str]) -> None:
+        known, marks = self.known, self.MARKS
+        closed = [w for w in fresh if w[-1] in marks and w[:-1].isalpha() and self._latin(w)]
+        plain = list((fresh.difference(closed) | {w[:-1] for w in closed} | {w[-1] for w in closed}).difference(known))
+        # Words of Latin letters alone: each ends at the next end-of-word id.
+        letters = [w for w in plain if w.isalpha() and self._latin(w)]
+        for at in range(0, len(letters), 4096):
+            part = letters[at : at + 4096]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            cuts = [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()]
+            ids = ids.tobytes()
+            known.update(zip(part, [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
+        others = list(set(plain).difference(letters))
+        for at in range(0, len(others), 4096):
+            part = others[at : at + 4096]
             starts = np.cumsum([0, *[len(w) + 1 for w in part]])
             found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids = np.array(found.ids, "<u4")
-            places = np.array([o[0] for o in found.offsets], np.int64)
-            cuts = np.searchsorted(places, starts)
-            for w, a, b in zip(part, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                self.known[w] = ids[a:b].tobytes()
+            ids = np.array(found.ids, "<u4").tobytes()
+            cuts = (np.searchsorted(np.array([o[0] for o in found.offsets], np.int64), starts) * 4).tolist()
+            known.update(zip(part, [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
+        for w in closed:
+            known[w] = known[w[:-1]] + known[w[-1]]
+
+    @staticmethod
+    def _latin(text: str) -> bool:
+        if text.isascii():
+            return True
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return False
+        return True
+
+    def _lower(self, text: str) -> str:
+        return text.lower() if self._latin(text) else text
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [None if self.ODD.search(t) else t.split() for t in texts]
-        fresh = {w for ws in split if ws for w in ws}.difference(self.known)
+        split = [None if self.ODD.search(t) else self._lower(t).split() for t in texts]
+        every = set().union(*[ws for ws in split if ws])
+        fresh = every.difference(self.known)
         if len(self.known) + len(fresh) > self.most:
             self.known = {}
-            fresh = {w for ws in split if ws for w in ws}
-        self._learn(sorted(fresh))
+            fresh = every
+        self._learn(fresh)
         get = self.known.__getitem__
         return [self._whole(t) if ws is None else b"".join(map(get, ws)) for t, ws in zip(texts, split, strict=True)]
 
