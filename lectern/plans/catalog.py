@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import documents, relations, reporting
+from . import documents, media, relations, reporting
 
-QUERIES = {**documents.QUERIES, **relations.QUERIES, **reporting.QUERIES}
-ORACLE_SQL = {**documents.SQL, **relations.SQL, **reporting.SQL}
+QUERIES = {**documents.QUERIES, **relations.QUERIES, **reporting.QUERIES, **media.QUERIES}
+ORACLE_SQL = {**documents.SQL, **relations.SQL, **reporting.SQL, **media.SQL}

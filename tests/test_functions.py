@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import answers, resilience
 from lectern.functions import columns as C
-from lectern.operators import blocks, graph, intervals, items, stores
+from lectern.operators import blocks, evaluation, graph, intervals, items, stores
 from lectern.plans.ingest import ingest
 from lectern.streaming import events
 
@@ -196,3 +196,17 @@ def test_status_and_sessions(spark):
     moves = spark.createDataFrame([("a", "ready", 1), ("a", "processed", 2), ("b", "failed", 1), ("b", "processed", 2), ("c", "handling", 1), ("c", "ready", 2)], "k string, s string, t int")
     assert {tuple(r) for r in events.advance_status(moves, "k", "s", "t").collect()} == {("a", "processed"), ("b", "failed"), ("c", "handling")}
     assert events.sessions(spark.read.parquet("/root/testdata/sf0.001/events.parquet"), "10 minutes").agg(F.sum("n")).first()[0] == 1000
+
+
+def test_evaluation(spark, tmp_path):
+    answer = "struct<success:boolean,result:string,error:string>"
+    given = spark.createDataFrame([("d", "q" * 120, "e", (True, "r", None), (False, None, "bad"))], f"doc_id string, question string, expected_answer string, mix {answer}, naive {answer}")
+    rows = evaluation.to_rows(given, ["mix", "naive"])
+    assert [r.method for r in rows.collect()] == ["mix"]
+    done = evaluation.judged(rows.withColumn("answer", F.lit('```json\n{"accuracy": 1\n```'))).select("doc_id", "question", "method", "expected_answer", "result", "accuracy", "success")
+    assert done.first().accuracy == 1 and evaluation.pending(rows, done).count() == 0
+    assert evaluation.pending(rows, done.limit(0)).count() == 1
+    assert evaluation.record(done, done.withColumn("accuracy", F.lit(0))).first().accuracy == 0
+    evaluation.save(done, str(tmp_path))
+    assert spark.read.json(str(tmp_path / "detail")).first().question == "q" * 120
+    assert spark.read.option("header", True).csv(str(tmp_path / "summary")).first().question == "q" * 100 + "..."
