@@ -11,7 +11,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +25,8 @@ LEAST = 80
 BANDS, ROWS = 12, 4
 #: Characters that a block of signatures works on.
 CHARS = 400_000
+#: Bits of the filter that lines pass before an exact join: 1 MB.
+FILTER_BITS = 1 << 23
 BLANK = " \t\n\x0b\x0c\r"
 
 
@@ -73,41 +74,65 @@ def line_bands(lines: list[str], size: int = SHINGLE) -> np.ndarray:
     return np.concatenate(out) if out else np.empty((0, BANDS), np.int64)
 
 
-def _signed_lines(df: DataFrame, id_col: str, text: str) -> DataFrame:
-    """item (id, line), c1, c2 (digest), size and b0.. of each line with a word."""
+def _each_line(part: pa.RecordBatch) -> Iterator[tuple[int, int, str, int, int]]:
+    """(row, line number, stripped line, digest) of every line with a word."""
+    for row, body in enumerate(part.column(1).to_pylist()):
+        for k, line in enumerate((body or "").split("\n")):
+            if line := line.strip(BLANK):
+                yield row, k, line, *digest(line.encode("utf-8", "surrogatepass"))
+
+
+def _lines(df: DataFrame, id_col: str, text: str, banded: bool) -> DataFrame:
+    """(id, line, c1, c2) of each line with a word; size and b0.. if ``banded``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                owner, number, lines = [], [], []
-                for row, body in enumerate(part.column(1).to_pylist()):
-                    for k, line in enumerate((body or "").split("\n")):
-                        line = line.strip(BLANK)
-                        if line:
-                            owner.append(row)
-                            number.append(k)
-                            lines.append(line)
-                marks = [digest(x.encode("utf-8", "surrogatepass")) for x in lines]
-                bands = line_bands(lines)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0).take(pa.array(owner, pa.int64())),
-                        pa.array(number, pa.int32()),
-                        pa.array([m[0] for m in marks], pa.int64()),
-                        pa.array([m[1] for m in marks], pa.int64()),
-                        pa.array([max(1, len(x) - SHINGLE + 1) for x in lines], pa.int32()),
-                        *[pa.array(bands[:, k]) for k in range(BANDS)],
-                    ],
-                    names,
-                )
+                found = list(_each_line(part))
+                owner, number, lines, c1, c2 = (list(c) for c in zip(*found, strict=True)) if found else ([], [], [], [], [])
+                columns = [part.column(0).take(pa.array(owner, pa.int64())), pa.array(number, pa.int32()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64())]
+                if banded:
+                    bands = line_bands(lines)
+                    columns += [pa.array([max(1, len(x) - SHINGLE + 1) for x in lines], pa.int32()), *[pa.array(bands[:, k]) for k in range(BANDS)]]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     kind = df.schema[id_col].dataType.simpleString()
-    names = ["id", "line", "c1", "c2", "size", *[f"b{k}" for k in range(BANDS)]]
-    schema = f"id {kind}, line int, c1 long, c2 long, size int, " + ", ".join(f"b{k} long" for k in range(BANDS))
+    names = ["id", "line", "c1", "c2", *(["size", *[f"b{k}" for k in range(BANDS)]] if banded else [])]
+    schema = f"id {kind}, line int, c1 long, c2 long" + (", size int, " + ", ".join(f"b{k} long" for k in range(BANDS)) if banded else "")
     return df.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
+def _filter_bits(keys: DataFrame) -> np.ndarray:
+    """A bitmap of ``FILTER_BITS`` bits, however many keys (c1) there are.
+
+    One hash, a Bloom filter of fixed size: what it lets through is joined
+    exactly. It is full at some number of keys, and then filters nothing.
+    """
+    at = F.pmod("c1", F.lit(FILTER_BITS)) + 1
+    rows = keys.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in rows:
+        start = (r["part"] - 1) * len(r["bits"])
+        out[start : start + len(r["bits"])] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return out
+
+
+def _bodies(df: DataFrame, text: str, keys: DataFrame) -> DataFrame:
+    """(c1, c2, body) of the lines whose digest is among ``keys`` (c1, c2)."""
+    bits = _filter_bits(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                found = [(c1, c2, line) for _, _, line, c1, c2 in _each_line(batch.slice(at, 512)) if bits[(c1 % FILTER_BITS) >> 3] >> (c1 & 7) & 1]
+                columns = list(zip(*found, strict=True)) or [(), (), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string())], ["c1", "c2", "body"])
+
+    lines = df.select(F.lit(0).alias("id"), F.col(text).alias("text")).mapInArrow(run, "c1 long, c2 long, body string")
+    return lines.groupBy("c1", "c2").agg(F.min("body").alias("body"))
+
+
 def duplicate_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
     """(id, line, kept_id, kept_line): lines that go, and the line kept for each.
 
@@ -117,24 +142,19 @@ def duplicate_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", l
     have none. Rows that share an id are told apart only by line number, so
     ids should be unique; repeated rows of one id lose the same lines.
     """
-    lines = _signed_lines(df, id_col, text)
+    banded = _lines(df, id_col, text, True)
     place = F.struct("id", "line")
     classes = settle(
-        lines.groupBy("c1", "c2").agg(F.min(place).alias("item"), F.min("size").alias("size"), F.count(F.lit(1)).alias("n"), *[F.min(f"b{k}").alias(f"b{k}") for k in range(BANDS)]), "classes"
+        banded.groupBy("c1", "c2").agg(F.min(place).alias("item"), F.min("size").alias("size"), F.count(F.lit(1)).alias("n"), *[F.min(f"b{k}").alias(f"b{k}") for k in range(BANDS)]), "classes"
     )
     bands = F.array(*[f"b{k}" for k in range(BANDS)])
     hits = collisions(classes.select(F.explode(bands).alias("bucket"), "item"))
-    wanted = hits.select("item").distinct()
-    split = df.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line", "raw"))
-    split = split.select(F.struct("id", F.col("line").cast("int").alias("line")).alias("item"), F.trim(F.col("raw"), F.lit(BLANK)).alias("body"))
-    # Only documents with a wanted line are split.
-    bodies = split.join(wanted, "item", "left_semi").dropDuplicates(["item"])
-    known = classes.select("item", "size", bands.alias("bands"), F.lit(b"").alias("sig"))
-    items = settle(known.join(bodies, "item"), "items")
-
-    def plausible(f: pd.DataFrame, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    known = settle(classes.select("c1", "c2", "item", "size", bands.alias("bands"), F.lit(b"").alias("sig")).join(hits.select("item").distinct(), "item", "left_semi"), "known")
+    items = settle(known.join(_bodies(df, text, known), ["c1", "c2"]).drop("c1", "c2"), "items")
+
+    def plausible(n: int, m: int, x: int, y: int) -> bool:
         # Shingles may repeat in a line, so its places bound its set from above only.
-        return np.ones(len(i), bool)
+        return True
 
     def similar(a: frozenset, b: frozenset) -> bool:
         if 100 * min(len(a), len(b)) < least * max(len(a), len(b)):
@@ -145,7 +165,7 @@ def duplicate_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", l
     joined = components(link_items(hits, items, similar, line_shingles, plausible))
     # Classes whose line stays and stands alone need no look-up.
     fate = classes.select("c1", "c2", "item", "n").join(joined, "item", "left").select("c1", "c2", "n", "item", F.coalesce("component", "item").alias("keep")).filter("n > 1 or item <> keep")
-    marked = lines.select("id", "line", "c1", "c2").join(fate.select("c1", "c2", "keep"), ["c1", "c2"])
+    marked = _lines(df, id_col, text, False).join(fate.select("c1", "c2", "keep"), ["c1", "c2"])
     return marked.filter(F.struct("id", "line") != F.col("keep")).select(F.col("id").alias(id_col), "line", F.col("keep.id").alias("kept_id"), F.col("keep.line").alias("kept_line"))
 
 

@@ -12,8 +12,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -67,28 +65,29 @@ def link_items(
     items: DataFrame,
     similar: Callable[[object, object], bool],
     shape: Callable[[str], object],
-    plausible: Callable[[pd.DataFrame, np.ndarray, np.ndarray], np.ndarray],
+    plausible: Callable[[int, int, int, int], bool],
 ) -> DataFrame:
     """Verified links (a, b) that connect all similar items of shared buckets.
 
     ``hits``: from ``collisions``. ``items``: (item, body, size, sig, bands)
     for every item in ``hits``, settled. ``shape`` turns a body into what
-    ``similar`` compares; ``plausible`` says which pairs of rows may be similar
-    by size and signature.
+    ``similar`` compares; ``plausible`` says of two sizes and signatures (as
+    integers) whether their items may be similar.
     """
     kind = items.schema["item"].dataType.simpleString()
     schema = f"a {kind}, b {kind}"
+    number = lambda sig: int.from_bytes(sig, "little")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Rows of one hub stand together after the join: its shape is kept.
         held, last = None, None
         for batch in batches:
             keep = []
-            f = pd.DataFrame({"size": np.concatenate([batch.column(k).to_numpy(zero_copy_only=False) for k in (4, 5)]), "sig": [*batch.column(6).to_pylist(), *batch.column(7).to_pylist()]})
-            n = batch.num_rows
-            maybe = plausible(f, np.arange(n), np.arange(n, 2 * n)) if n else []
             left, right = batch.column(2), batch.column(3)
-            for i in np.flatnonzero(maybe).tolist():
+            rows = zip(*[batch.column(k).to_pylist() for k in (4, 5, 6, 7)], strict=True)
+            for i, (n, m, x, y) in enumerate(rows):
+                if not plausible(n, m, number(x), number(y)):
+                    continue
                 body = left[i].as_py()
                 if body != last:
                     held, last = shape(body), body
@@ -110,57 +109,50 @@ def link_items(
     rows = rows.withColumn("blocks", blocks).withColumn("mine", mine)
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumns({"x": F.least("mine", "other"), "y": F.greatest("mine", "other")})
-    rows = rows.join(items, "item").select("bucket", "x", "y", "mine", "hub", "item", "component", "body", "size", "sig", "bands")
-
-    def in_block(group: pa.Table) -> pa.Table:
-        f = group.to_pandas()
-        as_key = (lambda v: tuple(v.values())) if isinstance(f["item"].iloc[0], dict) else (lambda v: v)
-        keys = [as_key(v) for v in f["item"]]
-        hubs = [as_key(v) for v in f["hub"]]
-        order = sorted(range(len(f)), key=lambda i: keys[i])
-        own = f["mine"].to_numpy()
-        within = int(f["x"].iloc[0]) == int(f["y"].iloc[0])
-        parent: dict = {}
-
-        def root(c):
-            while parent.get(c, c) != c:
-                c = parent[c]
-            return c
-
-        names = [as_key(v) for v in f["component"]]
-        shapes: dict[int, object] = {}
-        bands = np.array(f["bands"].tolist())
-        bucket = f["bucket"].iloc[0]
-        left_out, right_out = [], []
-        at = np.array(order)
-        for k, i in enumerate(order):
-            rest = at[k + 1 :]
-            if not within:
-                rest = rest[own[rest] != own[i]]
-            if not len(rest):
-                continue
-            rest = rest[plausible(f, np.full(len(rest), i), rest)]
-            if not len(rest):
-                continue
-            # A pair that shares several buckets is compared in the first.
-            same = bands[rest] == bands[i]
-            rest = rest[bands[i][same.argmax(axis=1)] == bucket]
-            for j in rest.tolist():
-                if keys[i] == hubs[i]:
-                    break  # compared in the first round
-                a, b = root(names[i]), root(names[j])
-                if a == b:
-                    continue
-                for m in (i, j):
-                    if m not in shapes:
-                        shapes[m] = shape(f["body"].iloc[m])
-                if similar(shapes[i], shapes[j]):
-                    parent[max(a, b)] = min(a, b)
-                    left_out.append(i)
-                    right_out.append(j)
-        item = group.column("item").combine_chunks()
-        pick = lambda at: item.take(pa.array(at, pa.int64()))
-        return pa.table({"a": pick(left_out), "b": pick(right_out)})
-
-    second = rows.groupBy("bucket", "x", "y").applyInArrow(in_block, schema)
+    rows = rows.join(items, "item").select("bucket", "x", "y", "mine", (F.col("item") == F.col("hub")).alias("is_hub"), "item", F.xxhash64("component").alias("component"), "size", "sig", "bands", "body")
+
+    def in_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links_of(bucket: int, within: bool, members: list[tuple]) -> Iterator[tuple]:
+            """Links of a block, members (mine, is_hub, item, component, size, sig, bands, body)."""
+            parent: dict = {}
+
+            def root(c):
+                while c in parent:
+                    c = parent[c]
+                return c
+
+            shapes: dict[int, object] = {}
+            for i, a in enumerate(members):
+                for j in range(i):
+                    b = members[j]
+                    # Pairs with the hub were compared in the first round; a
+                    # pair that shares several buckets is compared in the first.
+                    if a[1] or b[1] or not (within or a[0] != b[0]) or root(a[3]) == root(b[3]) or not plausible(a[4], b[4], a[5], b[5]):
+                        continue
+                    if next(m for m, n in zip(a[6], b[6], strict=True) if m == n) != bucket:
+                        continue
+                    for k in (i, j):
+                        if k not in shapes:
+                            shapes[k] = shape(members[k][7])
+                    if similar(shapes[i], shapes[j]):
+                        parent[root(a[3])] = root(b[3])
+                        yield a[2], b[2]
+
+        key, members = None, []
+        for batch in batches:
+            out: list[tuple] = []
+            columns = [batch.column(k).to_pylist() for k in range(11)]
+            for bucket, x, y, mine_, is_hub, item, component, size, sig, bands, body in zip(*columns, strict=True):
+                if key != (bucket, x, y):
+                    if members:
+                        out.extend(links_of(key[0], key[1] == key[2], members))
+                    key, members = (bucket, x, y), []
+                members.append((mine_, is_hub, item, component, size, number(sig), bands, body))
+            yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in out], pa.schema([("a", batch.column(5).type), ("b", batch.column(5).type)]))
+            item_type = batch.column(5).type
+        if members:
+            out = list(links_of(key[0], key[1] == key[2], members))
+            yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in out], pa.schema([("a", item_type), ("b", item_type)]))
+
+    second = rows.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "item").mapInArrow(in_block, schema)
     return first.unionByName(settle(second, "links"))

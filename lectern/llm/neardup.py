@@ -11,7 +11,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +24,6 @@ BANDS, ROWS = 24, 5
 LOW_BITS = 2
 #: Estimates this far below the threshold (five standard deviations) go.
 MARGIN = 0.2
-_POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
 def shingles(text: str, size: int) -> frozenset[bytes]:
@@ -42,14 +40,16 @@ def pack_low_bits(minima: np.ndarray, bits: int = LOW_BITS) -> bytes:
     return np.packbits(planes.astype(np.uint8), axis=1).tobytes()
 
 
-def estimate(a: np.ndarray, b: np.ndarray, count: int, bits: int = LOW_BITS) -> np.ndarray:
-    """Similarity of packed signatures (pairs, bytes), corrected for chance.
+def estimate(a: int, b: int, count: int, bits: int = LOW_BITS) -> float:
+    """Similarity of packed signatures, as integers, corrected for chance.
 
     Two different minima agree in ``bits`` low bits with probability 2 ** -bits.
     """
-    differ = (a ^ b).reshape(len(a), bits, -1)
-    differ = np.bitwise_or.reduce(differ, axis=1)
-    agree = 1 - _POPCOUNT[differ].sum(axis=1) / count
+    differ, plane = a ^ b, -(-count // 8) * 8
+    some = 0
+    for k in range(bits):
+        some |= differ >> plane * k
+    agree = 1 - (some & (1 << plane) - 1).bit_count() / count
     chance = 2.0**-bits
     return (agree - chance) / (1 - chance)
 
@@ -106,16 +106,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", s
     width = BANDS * ROWS
     floor = least / 100 - MARGIN
 
-    def plausible(f: pd.DataFrame, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        n = f["size"].to_numpy()
-        ok = 100 * np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j])
-        if ok.any():
-            if "packed" not in f.attrs:
-                f.attrs["packed"] = np.frombuffer(b"".join(f["sig"]), np.uint8).reshape(len(f), -1)
-            sig = f.attrs["packed"]
-            at = np.flatnonzero(ok)
-            ok[at] = estimate(sig[i[at]], sig[j[at]], width) >= floor
-        return ok
+    def plausible(n: int, m: int, x: int, y: int) -> bool:
+        return 100 * min(n, m) >= least * max(n, m) and estimate(x, y, width) >= floor
 
     def similar(a: frozenset, b: frozenset) -> bool:
         both = len(a & b)
