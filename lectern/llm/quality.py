@@ -68,17 +68,17 @@ def _share(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
 
 
-def metrics(df: DataFrame, text: str = "text", into: str = "quality") -> DataFrame:
-    """``df`` with a struct column ``into`` of counts and ratios.
+def measure(text: Column) -> Column:
+    """A struct of counts and ratios of one text; null counts as empty.
 
-    Null text counts as empty: every count and ratio is 0. Other columns pass
-    through untouched; an existing column of that name is replaced.
+    Words and lines are bound once: whatever reads several fields of the
+    struct, a filter too, does not split the text again.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
+    body = F.coalesce(text, F.lit(""))
     stop = sorted({*STOP_WORDS, *(w[0].upper() + w[1:] for w in STOP_WORDS)})
     has_word = r"[^\x20\x09-\x0D]"
     from_words = let(
-        words(F.col(text)),
+        words(text),
         lambda ws: F.struct(
             F.size(ws).cast("long").alias("n_words"),
             F.size(F.filter(ws, lambda w: F.regexp_replace(w, r"[.,;:!?]+$", "").isin(stop))).cast("long").alias("n_stop_words"),
@@ -94,20 +94,16 @@ def metrics(df: DataFrame, text: str = "text", into: str = "quality") -> DataFra
             F.size(F.filter(ls, lambda x: x.rlike(r"(\.\.\.|…)[\x20\x09]*$"))).cast("long").alias("n_ellipsis_lines"),
         ),
     )
-    w, ln = F.col(f"{into}.w"), F.col(f"{into}.l")
-    counted = df.withColumn(
-        into,
-        F.struct(
-            from_words.alias("w"),
-            from_lines.alias("l"),
-            F.length(F.translate(body, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
-            (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        ),
+    counted = F.struct(
+        from_words.alias("w"),
+        from_lines.alias("l"),
+        F.length(F.translate(body, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
+        (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("long").alias("n_symbols"),
     )
-    n, chars, symbols = w["n_words"], F.col(f"{into}.word_chars"), F.col(f"{into}.n_symbols")
-    return counted.withColumn(
-        into,
-        F.struct(
+
+    def ratios(m: Column) -> Column:
+        w, ln, n, chars, symbols = m["w"], m["l"], m["w"]["n_words"], m["word_chars"], m["n_symbols"]
+        return F.struct(
             n.alias("n_words"),
             chars.alias("word_chars"),
             symbols.alias("n_symbols"),
@@ -119,22 +115,23 @@ def metrics(df: DataFrame, text: str = "text", into: str = "quality") -> DataFra
             _share(ln["n_dup_lines"], ln["n_lines"]).alias("dup_line_ratio"),
             _share(ln["n_bullet_lines"], ln["n_lines"]).alias("bullet_line_ratio"),
             _share(ln["n_ellipsis_lines"], ln["n_lines"]).alias("ellipsis_line_ratio"),
-        ),
-    )
+        )
+
+    return let(counted, ratios)
 
 
-def base_failed(q: str = "quality") -> Column:
-    return (F.col(f"{q}.n_words") < 20) | (100 * F.col(f"{q}.n_repeat_words") > 30 * F.col(f"{q}.n_words"))
+def base_failed(q: Column) -> Column:
+    return (q["n_words"] < 20) | (100 * q["n_repeat_words"] > 30 * q["n_words"])
 
 
-def verdict(thresholds=THRESHOLDS, q: str = "quality") -> Column:
+def verdict(q: Column, thresholds=THRESHOLDS) -> Column:
     """The table as one boolean expression: true if every metric is in bounds."""
     out = F.lit(True)
     for name, least, most in thresholds:
         if least is not None:
-            out &= F.col(f"{q}.{name}") >= least
+            out &= q[name] >= least
         if most is not None:
-            out &= F.col(f"{q}.{name}") <= most
+            out &= q[name] <= most
     return out
 
 
@@ -142,16 +139,18 @@ def score_quality(df: DataFrame, text: str = "text", thresholds=THRESHOLDS) -> D
     """``df`` with ``quality`` (struct), ``base_failed`` and ``kept``.
 
     Null and empty texts fail for want of words. Rows are judged one by one,
-    so repeated rows get equal verdicts and an empty table stays empty.
+    so repeated rows get equal verdicts and an empty table stays empty. Other
+    columns pass through; those of the three names are replaced.
     """
-    failed = base_failed()
-    return metrics(df, text).withColumns({"base_failed": failed, "kept": ~failed & verdict(thresholds)})
+    judge = lambda q: F.struct(q.alias("quality"), base_failed(q).alias("base_failed"), (~base_failed(q) & verdict(q, thresholds)).alias("kept"))
+    held = free_name(df, "judged")
+    found = df.withColumn(held, let(measure(F.col(text)), judge))
+    return found.withColumns({c: F.col(f"{held}.{c}") for c in ("quality", "base_failed", "kept")}).drop(held)
 
 
 def filter_quality(df: DataFrame, text: str = "text", thresholds=THRESHOLDS) -> DataFrame:
     """The rows of ``df`` that pass, with the columns of ``df``."""
-    q = free_name(df, "quality")
-    return metrics(df, text, q).filter(~base_failed(q) & verdict(thresholds, q)).drop(q)
+    return df.filter(let(measure(F.col(text)), lambda q: ~base_failed(q) & verdict(q, thresholds)))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
