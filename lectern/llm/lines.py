@@ -144,9 +144,9 @@ def duplicate_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", l
     """
     banded = _lines(df, id_col, text, True)
     place = F.struct("id", "line")
-    classes = settle(
-        banded.groupBy("c1", "c2").agg(F.min(place).alias("item"), F.min("size").alias("size"), F.count(F.lit(1)).alias("n"), *[F.min(f"b{k}").alias(f"b{k}") for k in range(BANDS)]), "classes"
-    )
+    grouped = banded.groupBy("c1", "c2").agg(F.min(place).alias("place"), F.min("size").alias("size"), F.count(F.lit(1)).alias("n"), *[F.min(f"b{k}").alias(f"b{k}") for k in range(BANDS)])
+    # A number for each class, fixed by being written: one long in every bucket row.
+    classes = settle(grouped.withColumn("item", F.monotonically_increasing_id()), "classes")
     bands = F.array(*[f"b{k}" for k in range(BANDS)])
     hits = collisions(classes.select(F.explode(bands).alias("bucket"), "item"))
     known = settle(classes.select("c1", "c2", "item", "size", bands.alias("bands"), F.lit(b"").alias("sig")).join(hits.select("item").distinct(), "item", "left_semi"), "known")
@@ -163,8 +163,12 @@ def duplicate_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", l
         return 100 * both >= least * (len(a) + len(b) - both)
 
     joined = components(link_items(hits, items, similar, line_shingles, plausible))
+    # The least place of a component is the one kept.
+    placed = classes.select("item", "place").join(joined, "item")
+    first = placed.groupBy("component").agg(F.min("place").alias("first"))
+    linked = placed.join(first, "component").select("item", "first")
     # Classes whose line stays and stands alone need no look-up.
-    fate = classes.select("c1", "c2", "item", "n").join(joined, "item", "left").select("c1", "c2", "n", "item", F.coalesce("component", "item").alias("keep")).filter("n > 1 or item <> keep")
+    fate = classes.select("c1", "c2", "item", "place", "n").join(linked, "item", "left").withColumn("keep", F.coalesce("first", "place")).filter("n > 1 or place <> keep")
     marked = _lines(df, id_col, text, False).join(fate.select("c1", "c2", "keep"), ["c1", "c2"])
     return marked.filter(F.struct("id", "line") != F.col("keep")).select(F.col("id").alias(id_col), "line", F.col("keep.id").alias("kept_id"), F.col("keep.line").alias("kept_line"))
 
