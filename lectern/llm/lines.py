@@ -21,8 +21,8 @@ from .links import collisions, components, link_items
 
 SHINGLE = 8
 LEAST = 80
-#: A link of similarity 0.8 shares no band with probability 0.002.
-BANDS, ROWS = 12, 4
+#: A link of similarity 0.8 shares no band with probability 2.5e-6, one of 0.85 with 2e-8.
+BANDS, ROWS = 18, 3
 #: Characters that a block of signatures works on.
 CHARS = 400_000
 #: Bits of the filter that lines pass before an exact join: 1 MB.

@@ -133,6 +133,32 @@ def test_line_query_recall(spark, sf_dir):
     assert got <= gone and len(got) >= 0.99 * len(gone)
 
 
+def edge_texts(pairs=6000, seed=5):
+    """Pairs of lines whose similarity is 0.8 exactly: 40 of 50 shingles."""
+    rng = random.Random(seed)
+    make = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    rows = []
+    for _ in range(pairs):
+        base = make(47)
+        rows += [base + make(5), base + make(5)]
+    rng.shuffle(rows)
+    return [(k, "\n".join(rows[k * 60 : k * 60 + 60])) for k in range(len(rows) // 60)]
+
+
+def test_no_link_of_lines_is_lost(spark):
+    texts = edge_texts()
+    gone = {k: v for k, v in brute.line_fates(dict(texts), 8, 80).items() if k != v}
+    got = {(r.doc_id, r.line): (r.kept_id, r.kept_line) for r in lines.duplicate_lines(frame(spark, texts)).collect()}
+    assert len(gone) > 5900 and got == gone
+
+
+def test_lines_equal_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    for df, texts in ((docs, {r.doc_id: r.text for r in docs.collect()}), (frame(spark, line_texts()), dict(line_texts()))):
+        gone = {k: v for k, v in brute.line_fates(texts, 8, 80).items() if k != v}
+        assert {(r.doc_id, r.line): (r.kept_id, r.kept_line) for r in lines.duplicate_lines(df).collect()} == gone
+
+
 def repeated_texts(seed=0):
     rng = random.Random(seed)
     noise = lambda n: "".join(rng.choice("abé") for _ in range(n))
