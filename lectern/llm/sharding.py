@@ -5,6 +5,7 @@ their text's MD5, in ``2 ** UNIT_BITS`` consecutive units by its leading bits;
 a unit is the atom of the partition. Their sizes, at most that many numbers,
 come to the driver; a binary search finds the least capacity for which a
 greedy fill needs no more than the wanted shards, and cuts there. A unit
+larger than an even share gets a shard of its own, outside that order. A unit
 holds one group or a few at common sizes, and at any size less than a
 thousandth of a shard unless one text alone is larger.
 
@@ -54,11 +55,30 @@ def minimax_cuts(sizes: list[tuple[int, int]], shards: int) -> tuple[int, list[i
     return low, greedy_cuts(sizes, low)
 
 
-def _shard_of(unit: Column, cuts: list[int]) -> Column:
-    """How many cuts lie at or below ``unit``, less one."""
-    if not cuts:
-        return F.lit(0)
-    return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= unit)) - 1
+def balanced_cuts(sizes: list[tuple[int, int]], shards: int) -> tuple[list[int], list[int]]:
+    """Cuts of the common units, and the units that take a shard of their own.
+
+    A unit larger than an even share of what is left stands apart, until none
+    is; fewer than ``shards`` do. The rest, in order, gets the least capacity
+    for the shards left.
+    """
+    rest, apart = list(sizes), []
+    while True:
+        total, left = sum(s for _, s in rest), shards - len(apart)
+        large = [u for u, s in rest if s * left > total]
+        if not large or left < 2:
+            break
+        apart += large
+        rest = [(u, s) for u, s in rest if u not in set(large)]
+    return minimax_cuts(rest, shards - len(apart))[1], sorted(apart)
+
+
+def _shard_of(unit: Column, cuts: list[int], apart: list[int]) -> Column:
+    """How many cuts lie at or below ``unit``, less one; units apart come after."""
+    out = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= unit)) - 1 if cuts else F.lit(0)
+    for k, u in enumerate(apart):
+        out = F.when(unit == u, len(cuts) + k).otherwise(out)
+    return out
 
 
 def assign_shards(df: DataFrame, id_col: str = "doc_id", text: str = "text", shards: int = SHARDS, overhead: int = OVERHEAD, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -80,10 +100,10 @@ def assign_shards(df: DataFrame, id_col: str = "doc_id", text: str = "text", sha
     loads = rows.groupBy("unit", "sub").agg(F.sum("size").alias("load"), F.count(F.lit(1)).alias("n"))
     # At most 2 ** UNIT_BITS numbers.
     sizes = [(r["unit"], r["load"]) for r in loads.groupBy("unit").agg(F.sum("load").alias("load")).collect()]
-    _, cuts = minimax_cuts(sorted(sizes), shards)
+    cuts, apart = balanced_cuts(sorted(sizes), shards)
     # At most 2 ** UNIT_BITS * SUBS rows, however many the table has.
     before = Window.partitionBy("shard").orderBy("unit", "sub").rowsBetween(Window.unboundedPreceding, -1)
-    starts = loads.withColumn("shard", _shard_of(F.col("unit"), cuts)).select("unit", "sub", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    starts = loads.withColumn("shard", _shard_of(F.col("unit"), cuts, apart)).select("unit", "sub", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     within = Window.partitionBy("unit", "sub").orderBy(F.col(id_col), "size", "text_crc32")
     return (
         rows.join(starts, ["unit", "sub"])

@@ -119,6 +119,25 @@ def test_shards(spark, sf_dir, texts):
     assert max(load.values()) == sharding.minimax_cuts(sorted(sizes.items()), 40)[0]
 
 
+def test_shards_with_a_group_of_a_third(spark):
+    rng = np.random.default_rng(2)
+    rows = [(k, "copy" * 30 if k % 3 == 0 else rng.bytes(58).hex()) for k in range(6000)]
+    load, copies = Counter(), set()
+    for r in sharding.assign_shards(spark.createDataFrame(rows, "doc_id long, text string"), shards=40).collect():
+        load[r.shard] += r.size
+        copies |= {r.shard} if r.doc_id % 3 == 0 else set()
+    assert sorted(load) == list(range(40)) and len(copies) == 1
+    others = [n for s, n in load.items() if s not in copies]
+    assert max(others) < 1.1 * sum(others) / 39
+
+
+def test_balanced_cuts():
+    sizes = [(0, 5), (1, 40), (2, 5), (3, 12), (4, 3), (5, 3)]
+    assert sharding.balanced_cuts(sizes, 4) == ([0, 4], [1, 3])
+    assert sharding.balanced_cuts(sizes, 1) == ([0], []) and sharding.balanced_cuts([], 3) == ([], [])
+    assert sharding.balanced_cuts([(7, 9)], 3) == ([], [7])
+
+
 def test_shards_of_odd_rows(docs):
     got = sharding.assign_shards(docs, shards=3).collect()
     assert len(got) == len(SAMPLE) and sharding.assign_shards(docs.limit(0)).count() == 0
