@@ -225,10 +225,10 @@ glo AS (SELECT doc_id, count(*)::DOUBLE AS score FROM f JOIN ends USING (entity)
 """
 
 
-def _mode(t, mode, naive=None):
+def _mode(t, mode, naive=None, seeds=None):
     found = _found(t)
     empty = t("documents").select("doc_id", F.lit(0.0).alias("score")).limit(0)
-    return retrieval.retrieve(mode, _seeds(t), found, graph.neighbours(found, "doc_id"), empty if naive is None else naive, "doc_id")
+    return retrieval.retrieve(mode, _seeds(t) if seeds is None else seeds, found, graph.neighbours(found, "doc_id"), empty if naive is None else naive, "doc_id")
 
 
 @R.add(f"WITH {_FOUND}, {_EDGES}, {_LOCAL} SELECT * FROM loc")
@@ -254,6 +254,39 @@ def mix_union(t):
     return _mode(t, "mix", naive).select("doc_id", F.round("score", 6).alias("score"))
 
 
+# The modes over whole tables: every benchmark row seeds, every document's vector is searched.
+_LOCAL_ALL = _LOCAL.replace(_SEED, "SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Z][a-z]+')) AS entity FROM benchmark")
+
+
+def _seeds_all(t):
+    return t("benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(_PATTERN), F.lit(0))).alias("entity")).distinct()
+
+
+@R.add(f"WITH {_FOUND}, {_EDGES}, {_LOCAL_ALL} SELECT * FROM loc")
+def local_expand_all(t):
+    return _mode(t, "local", seeds=_seeds_all(t))
+
+
+@R.add(f"WITH {_FOUND}, {_EDGES}, {_LOCAL_ALL}, {_GLOBAL} SELECT * FROM glo")
+def global_edges_all(t):
+    return _mode(t, "global", seeds=_seeds_all(t))
+
+
+@R.add(f"WITH {_FOUND}, {_EDGES}, {_LOCAL_ALL}, {_GLOBAL} SELECT doc_id, max(score) AS score FROM (SELECT * FROM loc UNION ALL SELECT * FROM glo) GROUP BY doc_id")
+def hybrid_union_all(t):
+    return _mode(t, "hybrid", seeds=_seeds_all(t))
+
+
+@R.add(f"""WITH {_FOUND}, {_EDGES}, {_LOCAL_ALL}, {_GLOBAL}, {_VEC},
+n AS (SELECT vec_id AS doc_id, max(sim) AS score FROM r WHERE rank <= 60 AND sim >= 0.2 AND vec_id IN (SELECT doc_id FROM documents) GROUP BY vec_id)
+SELECT doc_id, round(max(score), 6) AS score FROM (SELECT * FROM loc UNION ALL SELECT * FROM glo UNION ALL SELECT * FROM n) GROUP BY doc_id""")
+def mix_union_all(t):
+    """A vector belongs to the document of its id; the naive score is the best cosine over the queries."""
+    near = _near(t, retrieval.TOP_K, retrieval.THRESHOLD).groupBy(F.col("vec_id").alias("doc_id")).agg(F.max("sim").alias("score"))
+    naive = near.join(t("documents").select("doc_id"), "doc_id", "left_semi")
+    return _mode(t, "mix", naive, _seeds_all(t)).select("doc_id", F.round("score", 6).alias("score"))
+
+
 @R.add("""SELECT lang, doc_id, used::BIGINT AS used FROM (
   SELECT lang, doc_id, sum(n_chars // 4) OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id ROWS UNBOUNDED PRECEDING) AS used FROM documents) WHERE used <= 20000""")
 def token_budget(t):
