@@ -133,10 +133,10 @@ def _bodies(df: DataFrame, text: str, keys: DataFrame) -> DataFrame:
     return lines.groupBy("c1", "c2").agg(F.min("body").alias("body"))
 
 
-def duplicate_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
-    """(id, line, kept_id, kept_line): lines that go, and the line kept for each.
+def line_classes(df: DataFrame, id_col: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
+    """(id, line, kept_id, kept_line): lines of classes of two or more, and the line kept for each.
 
-    Line numbers start at 0. Lines link where 100 * intersection >= ``least``
+    The kept line is in it too, as its own. Any other line stands alone. Line numbers start at 0. Lines link where 100 * intersection >= ``least``
     * union of their character shingles; a line shorter than a shingle is its
     own only one. Lines without a word are never touched. Null and empty texts
     have none. Rows that share an id are told apart only by line number, so
@@ -168,9 +168,14 @@ def duplicate_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", l
     first = placed.groupBy("component").agg(F.min("place").alias("first"))
     linked = placed.join(first, "component").select("item", "first")
     # Classes whose line stays and stands alone need no look-up.
-    fate = classes.select("c1", "c2", "item", "place", "n").join(linked, "item", "left").withColumn("keep", F.coalesce("first", "place")).filter("n > 1 or place <> keep")
+    fate = classes.select("c1", "c2", "item", "place", "n").join(linked, "item", "left").withColumn("keep", F.coalesce("first", "place")).filter("n > 1 or first is not null")
     marked = _lines(df, id_col, text, False).join(fate.select("c1", "c2", "keep"), ["c1", "c2"])
-    return marked.filter(F.struct("id", "line") != F.col("keep")).select(F.col("id").alias(id_col), "line", F.col("keep.id").alias("kept_id"), F.col("keep.line").alias("kept_line"))
+    return marked.select(F.col("id").alias(id_col), "line", F.col("keep.id").alias("kept_id"), F.col("keep.line").alias("kept_line"))
+
+
+def duplicate_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
+    """(id, line, kept_id, kept_line): the ``line_classes`` less the lines kept."""
+    return line_classes(df, id_col, text, least).filter((F.col(id_col) != F.col("kept_id")) | (F.col("line") != F.col("kept_line")))
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
@@ -187,6 +192,16 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", least
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_removed and the lines removed, for documents that lose any."""
+    """doc_id, n_removed, the lines removed and what is kept for each, for documents that lose any.
+
+    ``kept``: (line, kept_id, kept_line) of each, in order of lines. A line
+    that no row names as removed is kept.
+    """
     gone = duplicate_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return gone.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_removed"), F.array_join(F.sort_array(F.collect_list("line")), ",").alias("lines"))
+    kept = F.sort_array(F.collect_list(F.struct("line", "kept_id", "kept_line"))).alias("kept")
+    return gone.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_removed"), F.array_join(F.sort_array(F.collect_list("line")), ",").alias("lines"), kept)
+
+
+def op3_line_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, line, kept_id, kept_line: every line of a class of two or more, kept ones included."""
+    return line_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from . import oracles
 from .langid import op7_language_id
-from .lines import op3_line_dedup
+from .lines import op3_line_classes, op3_line_dedup
 from .media import op1_media_columns
 from .neardup import op4_minhash
 from .packing import op9_packing
@@ -18,6 +18,7 @@ QUERIES = {
     "op1_media_columns": op1_media_columns,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_line_dedup": op3_line_dedup,
+    "op3_line_classes": op3_line_classes,
     "op4_minhash": op4_minhash,
     "op5_quality_rules": op5_quality_rules,
     "op6_sentencepiece": op6_sentencepiece,

@@ -159,6 +159,18 @@ def test_lines_equal_brute_force(spark, sf_dir):
         assert {(r.doc_id, r.line): (r.kept_id, r.kept_line) for r in lines.duplicate_lines(df).collect()} == gone
 
 
+def test_line_query_names_the_classes(spark, tmp_path):
+    texts = line_texts()
+    frame(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    want = brute.line_fates(dict(texts), 8, 80)
+    rows = lines.op3_line_dedup(spark, str(tmp_path)).collect()
+    assert {(r.doc_id, k.line): (k.kept_id, k.kept_line) for r in rows for k in r.kept} == {k: v for k, v in want.items() if k != v}
+    assert all(r.lines == ",".join(str(k.line) for k in r.kept) and r.n_removed == len(r.kept) for r in rows)
+    of = set(v for k, v in want.items() if k != v)
+    got = {(r.doc_id, r.line): (r.kept_id, r.kept_line) for r in lines.op3_line_classes(spark, str(tmp_path)).collect()}
+    assert got == {k: v for k, v in want.items() if v in of}
+
+
 def repeated_texts(seed=0):
     rng = random.Random(seed)
     noise = lambda n: "".join(rng.choice("abé") for _ in range(n))
