@@ -17,7 +17,7 @@ from lectern.llm.packing import pack_documents
 from lectern.llm.quality import filter_quality
 from lectern.llm.suffixes import remove_repeated
 
-#: Bytes of a repeated string: below what fifty words take.
+#: Bytes of a repeated string: below what fifty words mostly take.
 REPEATED = 240
 
 
