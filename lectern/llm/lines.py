@@ -8,25 +8,32 @@ the line at the least (id, line number) stays and the others go.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import settle, table
-from .hashing import ODD, band_hashes, digest, mix, seeds
-from .links import collisions, components, link_items
+from .common import drop_settled, free_name, settle, table
+from .hashing import band_hashes, mix, powers, seeds
+from .links import LOW_BITS, Likeness, collisions, components, link_items, pack_planes
 
 SHINGLE = 8
 LEAST = 80
 #: A link of similarity 0.8 shares no band with probability 2.5e-6, one of 0.85 with 2e-8.
 BANDS, ROWS = 18, 3
+#: Estimates this far below the threshold go; a link is lost so with probability 5e-8.
+MARGIN = 0.42
+BUCKETS = [f"b{k}" for k in range(BANDS)]
+SIGNATURE = [f"p{k}" for k in range(LOW_BITS * -(-BANDS * ROWS // 64))]
 #: Characters that a block of signatures works on.
 CHARS = 400_000
-#: Bits of the filter that lines pass before an exact join: 1 MB.
-FILTER_BITS = 1 << 23
+#: Most bits of the filter that lines pass before an exact join: 16 MB.
+FILTER_BITS = 1 << 27
 BLANK = " \t\n\x0b\x0c\r"
 
 
@@ -34,168 +41,264 @@ def line_shingles(line: str, size: int = SHINGLE) -> frozenset[str]:
     return frozenset(line[i : i + size] for i in range(max(1, len(line) - size + 1)))
 
 
-def line_bands(lines: list[str], size: int = SHINGLE) -> np.ndarray:
-    """Band hashes (lines, BANDS) of non-empty lines.
+def _hashes(lines: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes of ``lines``, one for every place, and how many each line has.
 
-    Lines stand in one array, the short filled up to one shingle; a shingle
-    hash at every place, minima over each line's places.
+    Lines stand in one array, the short filled up to one shingle.
     """
-    factor, addend = seeds(BANDS * ROWS, 2)
-    out = []
+    counts = np.array([max(1, len(x) - size + 1) for x in lines])
+    text = "".join([x.ljust(size, "\0") for x in lines])
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    n = len(codes) - size + 1
+    up, down = powers(len(codes) + 1)
+    sums = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum((codes + np.uint64(1)) * up[: len(codes)], out=sums[1:])
+    lengths = counts + size - 1
+    first = np.cumsum(lengths) - lengths
+    inside = np.zeros(len(codes) + 1, np.int8)
+    inside[first] += 1
+    np.add.at(inside, first + counts, -1)
+    at = np.flatnonzero(np.cumsum(inside, dtype=np.int8)[:n])
+    return mix((sums[at + size] - sums[at]) * down[at]), counts
+
+
+def _parts(lines: list[str]) -> Iterator[list[str]]:
+    """``lines`` in runs of about ``CHARS`` characters, or one line."""
     at = 0
     while at < len(lines):
         end, chars = at, 0
         while end < len(lines) and (end == at or chars + len(lines[end]) <= CHARS):
             chars += len(lines[end])
             end += 1
-        part = lines[at:end]
+        yield lines[at:end]
         at = end
-        counts = np.array([max(1, len(x) - size + 1) for x in part])
-        text = "".join([x.ljust(size, "\0") for x in part])
-        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-        whole = np.zeros(len(codes) - size + 1, np.uint64)
-        for k in range(size):
-            whole *= ODD
-            whole += codes[k : k + len(whole)]
-        lengths = counts + size - 1
-        first = np.cumsum(lengths) - lengths
-        inside = np.zeros(len(codes) + 1, np.int8)
-        np.add.at(inside, first, 1)
-        np.add.at(inside, first + counts, -1)
-        x = (mix(whole[np.cumsum(inside)[: len(whole)] > 0]) >> np.uint64(32)).astype(np.uint32)
+
+
+def line_minima(lines: list[str], size: int = SHINGLE) -> np.ndarray:
+    """Minima (lines, BANDS * ROWS) over the shingles of non-empty lines."""
+    factor, _ = seeds(BANDS * ROWS, 2)
+    out = [np.empty((0, BANDS * ROWS), np.uint32)]
+    for part in _parts(lines):
+        hashes, counts = _hashes(part, size)
+        x = (hashes >> np.uint64(32)).astype(np.uint32)
         starts = np.cumsum(counts) - counts
-        minima = np.empty((len(part), BANDS * ROWS), np.uint32)
+        minima = np.empty((BANDS * ROWS, len(part)), np.uint32)
         buffer = np.empty_like(x)
         for k in range(BANDS * ROWS):
-            np.multiply(x, factor[k], out=buffer)
-            buffer += addend[k]
-            minima[:, k] = np.minimum.reduceat(buffer, starts)
-        out.append(band_hashes(minima, ROWS))
-    return np.concatenate(out) if out else np.empty((0, BANDS), np.int64)
+            np.minimum.reduceat(np.multiply(x, factor[k], out=buffer), starts, out=minima[k])
+        out.append(minima.T)
+    return np.concatenate(out)
+
+
+def line_sets(lines: list[str], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of each line, line after line, and how many each has."""
+    hashes, counts = _hashes(lines, size)
+    owner = np.repeat(np.arange(len(lines)), counts)
+    order = np.lexsort((hashes, owner))
+    hashes, owner = hashes[order], owner[order]
+    new = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])])
+    return hashes[new], np.bincount(owner[new], minlength=len(lines))
+
+
+def similar_lines(left: list[str], right: list[str], least: int = LEAST, size: int = SHINGLE) -> np.ndarray:
+    """Whether each pair of lines links: counted on hashes, confirmed on the shingles."""
+    out = np.zeros(len(left), bool)
+    if not left:
+        return out
+    place = {x: k for k, x in enumerate(dict.fromkeys([*left, *right]))}
+    values, counts = line_sets(list(place), size)
+    first = np.cumsum(counts) - counts
+    a, b = (np.array([place[x] for x in side]) for side in (left, right))
+    fits = np.flatnonzero(100 * np.minimum(counts[a], counts[b]) >= least * np.maximum(counts[a], counts[b]))
+    total = np.cumsum(counts[a[fits]] + counts[b[fits]])
+    for part in np.split(fits, np.searchsorted(total, np.arange(CHARS, int(total[-1]), CHARS)) if len(fits) else []):
+        if not len(part):
+            continue
+        lines, pair = np.concatenate([a[part], b[part]]), np.tile(np.arange(len(part)), 2)
+        each = counts[lines]
+        at = np.repeat(first[lines] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
+        pair = np.repeat(pair, each)
+        key = values[at] ^ mix(pair.astype(np.uint64) + np.uint64(1))
+        order = np.argsort(key)
+        twice = key[order][1:] == key[order][:-1]
+        both = np.bincount(pair[order[1:][twice]], minlength=len(part))
+        out[part] = 100 * both >= least * (counts[a[part]] + counts[b[part]] - both)
+    for k in np.flatnonzero(out):
+        x, y = line_shingles(left[k], size), line_shingles(right[k], size)
+        out[k] = 100 * len(x & y) >= least * len(x | y)
+    return out
 
 
-def _each_line(part: pa.RecordBatch) -> Iterator[tuple[int, int, str, int, int]]:
-    """(row, line number, stripped line, digest) of every line with a word."""
-    for row, body in enumerate(part.column(1).to_pylist()):
+def _each_line(bodies: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
+    """Row and line number of every line with a word, the stripped lines, and their 128-bit digests (lines, 2)."""
+    owner, number, lines = [], [], []
+    for row, body in enumerate(bodies):
         for k, line in enumerate((body or "").split("\n")):
             if line := line.strip(BLANK):
-                yield row, k, line, *digest(line.encode("utf-8", "surrogatepass"))
+                owner.append(row)
+                number.append(k)
+                lines.append(line)
+    codes = b"".join([hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=16).digest() for x in lines])
+    return np.array(owner, np.int64), np.array(number, np.int32), lines, np.frombuffer(codes, "<i8").reshape(-1, 2)
+
 
+def _marked(df: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(id, mark, text): the hash of the text tells rows of one id apart."""
+    body = F.col(f"`{text}`")
+    return df.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(body).alias("mark"), body.alias("text"))
 
-def _lines(df: DataFrame, id_col: str, text: str, banded: bool) -> DataFrame:
-    """(id, line, c1, c2) of each line with a word; size and b0.. if ``banded``."""
+
+def _lines(docs: DataFrame, banded: bool) -> DataFrame:
+    """(id, mark, line, c1, c2) of each line with a word; sig and b0.. if ``banded``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                found = list(_each_line(part))
-                owner, number, lines, c1, c2 = (list(c) for c in zip(*found, strict=True)) if found else ([], [], [], [], [])
-                columns = [part.column(0).take(pa.array(owner, pa.int64())), pa.array(number, pa.int32()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64())]
+                owner, number, lines, codes = _each_line(part.column(2).to_pylist())
+                owner = pa.array(owner)
+                columns = [part.column(0).take(owner), part.column(1).take(owner), pa.array(number), *[pa.array(codes[:, k]) for k in (0, 1)]]
                 if banded:
-                    bands = line_bands(lines)
-                    columns += [pa.array([max(1, len(x) - SHINGLE + 1) for x in lines], pa.int32()), *[pa.array(bands[:, k]) for k in range(BANDS)]]
+                    minima = line_minima(lines)
+                    bands = band_hashes(minima, ROWS)
+                    columns += [pa.array(np.ascontiguousarray(c)) for c in (*pack_planes(minima).T, *bands.T)]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    kind = df.schema[id_col].dataType.simpleString()
-    names = ["id", "line", "c1", "c2", *(["size", *[f"b{k}" for k in range(BANDS)]] if banded else [])]
-    schema = f"id {kind}, line int, c1 long, c2 long" + (", size int, " + ", ".join(f"b{k} long" for k in range(BANDS)) if banded else "")
-    return df.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    kind = docs.schema["id"].dataType.simpleString()
+    names = ["id", "mark", "line", "c1", "c2", *([*SIGNATURE, *BUCKETS] if banded else [])]
+    return docs.mapInArrow(run, f"id {kind}, mark long, line int, " + ", ".join(f"{c} long" for c in names[3:]))
 
 
-def _filter_bits(keys: DataFrame) -> np.ndarray:
-    """A bitmap of ``FILTER_BITS`` bits, however many keys (c1) there are.
+def _filter(keys: DataFrame) -> np.ndarray:
+    """A bitmap over the hashes c1 of ``keys``: a Bloom filter of one hash.
 
-    One hash, a Bloom filter of fixed size: what it lets through is joined
-    exactly. It is full at some number of keys, and then filters nothing.
+    Sixteen bits a key, ``FILTER_BITS`` at most; what it lets through is
+    joined exactly, so beyond that it only filters less.
     """
-    at = F.pmod("c1", F.lit(FILTER_BITS)) + 1
+    size = 1 << 20
+    wanted = 16 * keys.count()
+    while size < min(wanted, FILTER_BITS):
+        size *= 2
+    at = F.pmod("c1", F.lit(size)) + 1
     rows = keys.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    out = np.zeros(size // 8, np.uint8)
     for r in rows:
         start = (r["part"] - 1) * len(r["bits"])
         out[start : start + len(r["bits"])] = np.frombuffer(bytes(r["bits"]), np.uint8)
     return out
 
 
-def _bodies(df: DataFrame, text: str, keys: DataFrame) -> DataFrame:
-    """(c1, c2, body) of the lines whose digest is among ``keys`` (c1, c2)."""
-    bits = _filter_bits(keys)
+def _bodies(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """(c1, c2, body, size) of the lines whose digest is among ``keys`` (c1, c2), and maybe others."""
+    bits = _filter(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
-                found = [(c1, c2, line) for _, _, line, c1, c2 in _each_line(batch.slice(at, 512)) if bits[(c1 % FILTER_BITS) >> 3] >> (c1 & 7) & 1]
-                columns = list(zip(*found, strict=True)) or [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string())], ["c1", "c2", "body"])
+                _, _, lines, codes = _each_line(batch.column(0).slice(at, 512).to_pylist())
+                place = codes[:, 0] % (len(bits) * 8)
+                hit = np.flatnonzero(bits[place >> 3] >> (place & 7).astype(np.uint8) & 1)
+                yield pa.RecordBatch.from_arrays([*[pa.array(codes[hit, k]) for k in (0, 1)], pa.array([lines[k] for k in hit], pa.string())], ["c1", "c2", "body"])
 
-    lines = df.select(F.lit(0).alias("id"), F.col(text).alias("text")).mapInArrow(run, "c1 long, c2 long, body string")
-    return lines.groupBy("c1", "c2").agg(F.min("body").alias("body"))
+    found = docs.select("text").mapInArrow(run, "c1 long, c2 long, body string")
+    return found.groupBy("c1", "c2").agg(F.first("body").alias("body"))
 
 
-def line_classes(df: DataFrame, id_col: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
-    """(id, line, kept_id, kept_line): lines of classes of two or more, and the line kept for each.
+def _sized(items: DataFrame) -> DataFrame:
+    """``items`` with size, the number of distinct shingles of ``body``."""
 
-    The kept line is in it too, as its own. Any other line stands alone. Line numbers start at 0. Lines link where 100 * intersection >= ``least``
-    * union of their character shingles; a line shorter than a shingle is its
-    own only one. Lines without a word are never touched. Null and empty texts
-    have none. Rows that share an id are told apart only by line number, so
-    ids should be unique; repeated rows of one id lose the same lines.
-    """
-    banded = _lines(df, id_col, text, True)
-    place = F.struct("id", "line")
-    grouped = banded.groupBy("c1", "c2").agg(F.min(place).alias("place"), F.min("size").alias("size"), F.count(F.lit(1)).alias("n"), *[F.min(f"b{k}").alias(f"b{k}") for k in range(BANDS)])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bodies = batch.column(batch.schema.get_field_index("body")).to_pylist()
+            counts = [np.empty(0, np.int64), *[line_sets(part)[1] for part in _parts(bodies)]]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(counts).astype(np.int32))], [*batch.schema.names, "size"])
+
+    return items.mapInArrow(run, T.StructType([*items.schema, T.StructField("size", T.IntegerType())]))
+
+
+def _fates(df: DataFrame, id_col: str, text: str, least: int) -> DataFrame:
+    """(id, mark, line, keep): lines of classes of two or more; ``keep`` is the place (id, line, mark) kept."""
+    docs = _marked(df, id_col, text)
+    place = F.struct("id", "line", "mark")
+    grouped = _lines(docs, True).groupBy("c1", "c2").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in (*SIGNATURE, *BUCKETS)])
     # A number for each class, fixed by being written: one long in every bucket row.
     classes = settle(grouped.withColumn("item", F.monotonically_increasing_id()), "classes")
-    bands = F.array(*[f"b{k}" for k in range(BANDS)])
+    bands = F.array(*BUCKETS)
     hits = collisions(classes.select(F.explode(bands).alias("bucket"), "item"))
-    known = settle(classes.select("c1", "c2", "item", "size", bands.alias("bands"), F.lit(b"").alias("sig")).join(hits.select("item").distinct(), "item", "left_semi"), "known")
-    items = settle(known.join(_bodies(df, text, known), ["c1", "c2"]).drop("c1", "c2"), "items")
-
-    def plausible(n: int, m: int, x: int, y: int) -> bool:
-        # Shingles may repeat in a line, so its places bound its set from above only.
-        return True
+    known = settle(classes.select("c1", "c2", "item", bands.alias("bands"), F.array(*SIGNATURE).alias("sig")).join(hits.select("item").distinct(), "item", "left_semi"), "known")
+    items = settle(_sized(known.join(_bodies(docs, known), ["c1", "c2"]).drop("c1", "c2")), "items")
 
     def similar(a: frozenset, b: frozenset) -> bool:
-        if 100 * min(len(a), len(b)) < least * max(len(a), len(b)):
-            return False
         both = len(a & b)
         return 100 * both >= least * (len(a) + len(b) - both)
 
-    joined = components(link_items(hits, items, similar, line_shingles, plausible))
-    # The least place of a component is the one kept.
+    like = Likeness(line_shingles, similar, least, least / 100 - MARGIN, BANDS * ROWS, lambda left, right: similar_lines(left, right, least))
+    joined = components(link_items(hits, items, like))
+    for done in (hits, known, items):
+        drop_settled(done)
+    # The least place of a component is the one kept; places combine before they meet.
     placed = classes.select("item", "place").join(joined, "item")
     first = placed.groupBy("component").agg(F.min("place").alias("first"))
-    linked = placed.join(first, "component").select("item", "first")
+    linked = joined.join(first, "component").select("item", "first")
     # Classes whose line stays and stands alone need no look-up.
     fate = classes.select("c1", "c2", "item", "place", "n").join(linked, "item", "left").withColumn("keep", F.coalesce("first", "place")).filter("n > 1 or first is not null")
-    marked = _lines(df, id_col, text, False).join(fate.select("c1", "c2", "keep"), ["c1", "c2"])
-    return marked.select(F.col("id").alias(id_col), "line", F.col("keep.id").alias("kept_id"), F.col("keep.line").alias("kept_line"))
+    return _lines(docs, False).join(fate.select("c1", "c2", "keep"), ["c1", "c2"]).select("id", "mark", "line", "keep")
+
+
+def line_classes(df: DataFrame, id_col: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
+    """(id, line, kept_id, kept_line): lines of classes of two or more, and the line kept for each.
+
+    The kept line is in it too, as its own. Any other line stands alone. Line
+    numbers start at 0. Lines link where 100 * intersection >= ``least`` *
+    union of their character shingles; a line shorter than a shingle is its own
+    only one. Lines without a word are never touched. Null and empty texts have
+    none. Rows that share an id are told apart by their texts; equal rows have
+    equal lines and share their fate. Ties fall to the least (id, line). Other
+    columns do not matter. An empty table gives no rows.
+    """
+    return _fates(df, id_col, text, least).select(F.col("id").alias(id_col), "line", F.col("keep.id").alias("kept_id"), F.col("keep.line").alias("kept_line"))
+
+
+def _gone(df: DataFrame, id_col: str, text: str, least: int) -> DataFrame:
+    return _fates(df, id_col, text, least).filter(F.struct("id", "line", "mark") != F.col("keep"))
 
 
 def duplicate_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
     """(id, line, kept_id, kept_line): the ``line_classes`` less the lines kept."""
-    return line_classes(df, id_col, text, least).filter((F.col(id_col) != F.col("kept_id")) | (F.col("line") != F.col("kept_line")))
+    return _gone(df, id_col, text, least).select(F.col("id").alias(id_col), "line", F.col("keep.id").alias("kept_id"), F.col("keep.line").alias("kept_line"))
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
     """``df`` with duplicate lines taken out of ``text``; other columns stay.
 
     A text that loses every line with a word keeps its blank lines; rows never
-    go. Null texts stay null.
+    go. Null texts stay null. Columns of any other name pass through.
     """
-    gone = duplicate_lines(df, id_col, text, least).groupBy(id_col).agg(F.collect_set("line").alias("__gone"))
-    lines = F.split(F.col(text), "\n")
-    left = F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("__gone", i), x)), lambda x: x.isNotNull())
-    out = df.join(gone, id_col, "left").withColumn(text, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(left, "\n")))
-    return out.select(*[F.col(f"`{c}`") for c in df.columns])
+
+    @F.pandas_udf("string")
+    def left(texts: pd.Series, lost: pd.Series) -> pd.Series:
+        out = []
+        for t, numbers in zip(texts, lost, strict=True):
+            if numbers is not None and t is not None:
+                numbers = set(numbers.tolist())
+                t = "\n".join([x for k, x in enumerate(t.split("\n")) if k not in numbers])
+            out.append(t)
+        return pd.Series(out, dtype=object)
+
+    key, mark, lost = (free_name(df, c) for c in ("id", "mark", "lost"))
+    gone = _gone(df, id_col, text, least).groupBy("id", "mark").agg(F.collect_set("line").alias(lost))
+    gone = gone.select(F.col("id").alias(key), F.col("mark").alias(mark), lost)
+    body = F.col(f"`{text}`")
+    joined = df.join(gone, (F.col(f"`{id_col}`") == F.col(key)) & (F.xxhash64(body) == F.col(mark)), "left")
+    return joined.withColumn(text, left(body, F.col(lost))).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_removed, the lines removed and what is kept for each, for documents that lose any.
 
     ``kept``: (line, kept_id, kept_line) of each, in order of lines. A line
-    that no row names as removed is kept.
+    that no row names as removed is kept. Null and empty texts lose nothing;
+    of equal lines the least (doc_id, line) stays. No documents, no rows.
     """
     gone = duplicate_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     kept = F.sort_array(F.collect_list(F.struct("line", "kept_id", "kept_line"))).alias("kept")
@@ -203,5 +306,8 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, line, kept_id, kept_line: every line of a class of two or more, kept ones included."""
+    """doc_id, line, kept_id, kept_line: every line of a class of two or more, kept ones included.
+
+    Null and empty texts have no lines. No documents, no rows.
+    """
     return line_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))

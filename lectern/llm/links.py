@@ -11,15 +11,19 @@ one comparison a member.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import drop_settled, settle
 
 #: Items of a block; a task of the second round holds two blocks.
 BLOCK = 512
+LOW_BITS = 2
 
 
 def collisions(buckets: DataFrame) -> DataFrame:
@@ -50,7 +54,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         small = large.filter("a > b").groupBy("a").agg(F.min("b").alias("m"))
         star = large.join(small, "a").select(F.col("b").alias("x"), "m").filter("x <> m").select(F.col("x").alias("a"), F.col("m").alias("b"))
         star = star.unionByName(small.select("a", F.col("m").alias("b"))).distinct()
-        pairs = settle(star, name)
+        before, pairs = pairs, settle(star, name)
+        drop_settled(before)
         now = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
             break
@@ -60,50 +65,107 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     )
 
 
-def link_items(
-    hits: DataFrame,
-    items: DataFrame,
-    similar: Callable[[object, object], bool],
-    shape: Callable[[str], object],
-    plausible: Callable[[int, int, int, int], bool],
-) -> DataFrame:
+def pack_planes(minima: np.ndarray, bits: int = LOW_BITS) -> np.ndarray:
+    """The low ``bits`` bits of minima (items, K) as 64-bit words, bit plane after bit plane."""
+    n, count = minima.shape
+    planes = (minima[:, None, :] >> np.arange(bits, dtype=np.uint32)[None, :, None]) & np.uint32(1)
+    packed = np.zeros((n, bits, -(-count // 64) * 8), np.uint8)
+    packed[:, :, : -(-count // 8)] = np.packbits(planes.astype(np.uint8), axis=2, bitorder="little")
+    return packed.reshape(n, -1).view("<i8")
+
+
+def pack_low_bits(minima: np.ndarray, bits: int = LOW_BITS) -> bytes:
+    """The packed low bits of one item's minima."""
+    return pack_planes(minima[None], bits).tobytes()
+
+
+def estimate(a: int, b: int, count: int, bits: int = LOW_BITS) -> float:
+    """Similarity of packed signatures, as integers, corrected for chance.
+
+    Two different minima agree in ``bits`` low bits with probability 2 ** -bits.
+    """
+    differ, plane = a ^ b, -(-count // 64) * 64
+    some = 0
+    for k in range(bits):
+        some |= differ >> plane * k
+    agree = 1 - (some & (1 << plane) - 1).bit_count() / count
+    chance = 2.0**-bits
+    return (agree - chance) / (1 - chance)
+
+
+def estimated(a: Column, b: Column, count: int, bits: int = LOW_BITS) -> Column:
+    """``estimate`` of two signatures that are arrays of their 64-bit words."""
+    words = -(-count // 64)
+    differ = [F.bit_count(reduce(Column.bitwiseOR, [a[k * words + w].bitwiseXOR(b[k * words + w]) for k in range(bits)])) for w in range(words)]
+    chance = 2.0**-bits
+    return (1 - reduce(Column.__add__, differ) / count - chance) / (1 - chance)
+
+
+@dataclass(frozen=True)
+class Likeness:
+    """What makes two items a link, and what may rule a pair out before.
+
+    ``shape`` turns a body into what ``similar`` compares. Similar items have
+    sizes within ``least`` percent of each other, and signatures of ``count``
+    minima whose estimate is at least ``floor``. ``confirm``, where given,
+    judges lists of bodies at once.
+    """
+
+    shape: Callable[[str], object]
+    similar: Callable[[object, object], bool]
+    least: int
+    floor: float
+    count: int
+    confirm: Callable[[list[str], list[str]], np.ndarray] | None = None
+
+    def judge(self, left: list[str], right: list[str]) -> np.ndarray:
+        if self.confirm is not None:
+            return self.confirm(left, right)
+        # Rows of one hub stand together after the join: its shape is kept.
+        out, held, last = np.zeros(len(left), bool), None, None
+        for i, (x, y) in enumerate(zip(left, right, strict=True)):
+            if x != last:
+                held, last = self.shape(x), x
+            out[i] = self.similar(held, self.shape(y))
+        return out
+
+    def plausible(self, n: int, m: int, x: int, y: int) -> bool:
+        return 100 * min(n, m) >= self.least * max(n, m) and estimate(x, y, self.count) >= self.floor
+
+    def rules_in(self, a: str, b: str) -> Column:
+        """``plausible`` of the columns size_a, sig_a and size_b, sig_b."""
+        n, m = F.col(f"size_{a}"), F.col(f"size_{b}")
+        return (100 * F.least(n, m) >= self.least * F.greatest(n, m)) & (estimated(F.col(f"sig_{a}"), F.col(f"sig_{b}"), self.count) >= self.floor)
+
+
+def link_items(hits: DataFrame, items: DataFrame, like: Likeness) -> DataFrame:
     """Verified links (a, b) that connect all similar items of shared buckets.
 
     ``hits``: from ``collisions``. ``items``: (item, body, size, sig, bands)
-    for every item in ``hits``, settled. ``shape`` turns a body into what
-    ``similar`` compares; ``plausible`` says of two sizes and signatures (as
-    integers) whether their items may be similar.
+    for every item in ``hits``, settled; ``sig`` is an array of words.
     """
     kind = items.schema["item"].dataType.simpleString()
     schema = f"a {kind}, b {kind}"
-    number = lambda sig: int.from_bytes(sig, "little")
+    number = lambda sig: int.from_bytes(np.array(sig, "<i8").tobytes(), "little")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Rows of one hub stand together after the join: its shape is kept.
-        held, last = None, None
         for batch in batches:
-            keep = []
-            left, right = batch.column(2), batch.column(3)
-            rows = zip(*[batch.column(k).to_pylist() for k in (4, 5, 6, 7)], strict=True)
-            for i, (n, m, x, y) in enumerate(rows):
-                if not plausible(n, m, number(x), number(y)):
-                    continue
-                body = left[i].as_py()
-                if body != last:
-                    held, last = shape(body), body
-                if similar(held, shape(right[i].as_py())):
-                    keep.append(i)
+            keep = np.flatnonzero(like.judge(batch.column(2).to_pylist(), batch.column(3).to_pylist())) if batch.num_rows else []
             yield pa.RecordBatch.from_arrays([c.take(pa.array(keep, pa.int64())) for c in batch.columns[:2]], ["a", "b"])
 
-    side = lambda k: items.select(F.col("item").alias(k), F.col("body").alias(f"body_{k}"), F.col("size").alias(f"size_{k}"), F.col("sig").alias(f"sig_{k}"))
+    traits = lambda k: items.select(F.col("item").alias(k), F.col("size").alias(f"size_{k}"), F.col("sig").alias(f"sig_{k}"))
+    body = lambda k: items.select(F.col("item").alias(k), F.col("body").alias(f"body_{k}"))
     stars = hits.filter("item <> hub").select(F.col("hub").alias("a"), F.col("item").alias("b")).distinct()
-    first = stars.join(side("b"), "b").join(side("a"), "a").select("a", "b", "body_a", "body_b", "size_a", "size_b", "sig_a", "sig_b")
+    # Only pairs that sizes and signatures allow fetch their bodies.
+    near = stars.join(traits("b"), "b").join(traits("a"), "a").filter(like.rules_in("a", "b")).select("a", "b")
+    first = near.join(body("b"), "b").join(body("a"), "a").select("a", "b", "body_a", "body_b")
     first = settle(first.mapInArrow(compare, schema), "links")
     found = components(first)
 
-    rows = hits.join(found, "item", "left").withColumn("component", F.coalesce("component", "item"))
-    w = Window.partitionBy("bucket")
-    rows = rows.withColumns({"low": F.min("component").over(w), "high": F.max("component").over(w), "n": F.count(F.lit(1)).over(w)}).filter("low <> high")
+    rows = settle(hits.join(found, "item", "left").withColumn("component", F.coalesce("component", "item")), "placed")
+    # Rows of a bucket combine before the shuffle: few buckets are still apart.
+    apart = rows.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).filter("low <> high").select("bucket", "n")
+    rows = rows.join(apart, "bucket")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int")
     rows = rows.withColumn("blocks", blocks).withColumn("mine", mine)
@@ -127,14 +189,14 @@ def link_items(
                     b = members[j]
                     # Pairs with the hub were compared in the first round; a
                     # pair that shares several buckets is compared in the first.
-                    if a[1] or b[1] or not (within or a[0] != b[0]) or root(a[3]) == root(b[3]) or not plausible(a[4], b[4], a[5], b[5]):
+                    if a[1] or b[1] or not (within or a[0] != b[0]) or root(a[3]) == root(b[3]) or not like.plausible(a[4], b[4], a[5], b[5]):
                         continue
                     if next(m for m, n in zip(a[6], b[6], strict=True) if m == n) != bucket:
                         continue
                     for k in (i, j):
                         if k not in shapes:
-                            shapes[k] = shape(members[k][7])
-                    if similar(shapes[i], shapes[j]):
+                            shapes[k] = like.shape(members[k][7])
+                    if like.similar(shapes[i], shapes[j]):
                         parent[root(a[3])] = root(b[3])
                         yield a[2], b[2]
 

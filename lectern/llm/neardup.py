@@ -12,18 +12,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settle, table
+from .common import drop_settled, settle, table
 from .hashing import band_hashes, digest, seeds, shingle_hashes
-from .links import collisions, components, link_items
+from .links import Likeness, collisions, components, estimate, link_items, pack_low_bits, pack_planes  # noqa: F401
 
 #: A link of similarity 0.85 shares no band with probability 8e-7.
 BANDS, ROWS = 24, 5
-LOW_BITS = 2
-#: Estimates this far below the threshold (five standard deviations) go.
-MARGIN = 0.2
+#: Estimates this far below the threshold go; a link is lost so with probability 3e-8.
+MARGIN = 0.25
 
 
 def shingles(text: str, size: int) -> frozenset[bytes]:
@@ -34,34 +33,14 @@ def shingles(text: str, size: int) -> frozenset[bytes]:
     return frozenset(b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1)))
 
 
-def pack_low_bits(minima: np.ndarray, bits: int = LOW_BITS) -> bytes:
-    """The low ``bits`` bits of each minimum, bit plane after bit plane."""
-    planes = (minima[None, :] >> np.arange(bits, dtype=np.uint32)[:, None]) & np.uint32(1)
-    return np.packbits(planes.astype(np.uint8), axis=1).tobytes()
-
-
-def estimate(a: int, b: int, count: int, bits: int = LOW_BITS) -> float:
-    """Similarity of packed signatures, as integers, corrected for chance.
-
-    Two different minima agree in ``bits`` low bits with probability 2 ** -bits.
-    """
-    differ, plane = a ^ b, -(-count // 8) * 8
-    some = 0
-    for k in range(bits):
-        some |= differ >> plane * k
-    agree = 1 - (some & (1 << plane) - 1).bit_count() / count
-    chance = 2.0**-bits
-    return (agree - chance) / (1 - chance)
-
-
 def signatures(df: DataFrame, id_col: str, text: str, size: int) -> DataFrame:
-    """id, n_shingles, c1, c2 (digest of the set), sig and bands of each row."""
+    """id, mark (hash of the text), n_shingles, c1, c2 (digest of the set), sig and bands of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factor, addend = (x[:, None] for x in seeds(BANDS * ROWS))
         for batch in batches:
             n, c1, c2, sigs, bands = [], [], [], [], []
-            for data in batch.column(1).to_pylist():
+            for data in batch.column(2).to_pylist():
                 found = shingle_hashes((data or b"").lower(), size)
                 a, b = digest(found.tobytes())
                 n.append(len(found))
@@ -72,18 +51,21 @@ def signatures(df: DataFrame, id_col: str, text: str, size: int) -> DataFrame:
                     minima = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
                     for at in range(0, len(x), 4096):
                         np.minimum(minima, (factor * x[at : at + 4096] + addend).min(axis=1), out=minima)
-                    sigs.append(pack_low_bits(minima))
+                    sigs.append(pack_planes(minima[None])[0])
                     bands.append(band_hashes(minima[None], ROWS)[0])
                 else:
-                    sigs.append(b"")
+                    sigs.append(np.empty(0, np.int64))
                     bands.append(np.empty(0, np.int64))
-            ends = np.cumsum([0, *map(len, bands)])
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(bands) if bands else [], pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(sigs, pa.binary()), lists], ["item", "n_shingles", "c1", "c2", "sig", "bands"])
+            lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate(x) if x else [], pa.int64())) for x in (sigs, bands)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), *lists], ["id", "mark", "n_shingles", "c1", "c2", "sig", "bands"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    docs = df.select(F.col(id_col).alias("item"), F.col(text).cast("binary").alias("text"))
-    return docs.mapInArrow(run, f"item {kind}, n_shingles long, c1 long, c2 long, sig binary, bands array<bigint>")
+    docs = df.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text_of(text)).alias("mark"), text_of(text).alias("text"))
+    return docs.mapInArrow(run, f"id {kind}, mark long, n_shingles long, c1 long, c2 long, sig array<bigint>, bands array<bigint>")
+
+
+def text_of(name: str) -> Column:
+    return F.col(f"`{name}`").cast("binary")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 5, least: int = 80) -> DataFrame:
@@ -92,35 +74,44 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", s
     Links join documents with 100 * intersection >= ``least`` * union of their
     ``size``-word shingle sets; a component is named by its least id, and that
     row alone is kept. Null, empty and wordless texts have no shingles, no
-    links and are kept. Repeated rows of one id share a row's fate. An empty
-    table gives no rows.
+    links and are kept. Rows of one id are told apart by their texts: each has
+    its own text's component, and equal rows share their fate. Equal texts are
+    linked however short; ties fall to the least id. Other columns do not
+    matter. An empty table gives no rows.
     """
     signed = settle(signatures(df, id_col, text, size), "signed")
     shaped = signed.filter("n_shingles > 0")
-    classes = settle(
-        shaped.groupBy("c1", "c2").agg(F.min("item").alias("item"), F.first("n_shingles").alias("size"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "classes"
-    )
+    grouped = shaped.groupBy("c1", "c2").agg(F.min(F.struct("id", "mark")).alias("place"), F.first("n_shingles").alias("size"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    # A number for each class, fixed by being written.
+    classes = settle(grouped.withColumn("item", F.monotonically_increasing_id()), "classes")
     hits = collisions(classes.select(F.explode("bands").alias("bucket"), "item"))
-    bodies = df.select(F.col(id_col).alias("item"), F.col(text).alias("body")).join(hits.select("item").distinct(), "item", "left_semi")
-    items = settle(classes.select("item", "size", "sig", "bands").join(bodies.dropDuplicates(["item"]), "item"), "items")
-    width = BANDS * ROWS
-    floor = least / 100 - MARGIN
-
-    def plausible(n: int, m: int, x: int, y: int) -> bool:
-        return 100 * min(n, m) >= least * max(n, m) and estimate(x, y, width) >= floor
+    wanted = classes.join(hits.select("item").distinct(), "item", "left_semi").select("item", "size", "sig", "bands", F.col("place.id").alias("id"), F.col("place.mark").alias("mark"))
+    bodies = df.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text_of(text)).alias("mark"), F.col(f"`{text}`").alias("body"))
+    items = settle(wanted.join(bodies, ["id", "mark"]).drop("id", "mark").dropDuplicates(["item"]), "items")
 
     def similar(a: frozenset, b: frozenset) -> bool:
         both = len(a & b)
         return 100 * both >= least * (len(a) + len(b) - both)
 
-    links = link_items(hits, items, similar, lambda body: shingles(body, size), plausible)
-    joined = components(links)
-    of_class = classes.select("c1", "c2", "item").join(joined, "item", "left").select("c1", "c2", F.coalesce("component", "item").alias("component"))
-    placed = signed.select("item", "n_shingles", "c1", "c2").join(of_class, ["c1", "c2"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("item"))
-    out = placed.select(F.col("item").alias(id_col), "n_shingles", component.alias("component_id"))
-    return out.withColumn("kept", F.col(id_col) == F.col("component_id"))
+    like = Likeness(lambda body: shingles(body, size), similar, least, least / 100 - MARGIN, BANDS * ROWS)
+    joined = components(link_items(hits, items, like))
+    drop_settled(items)
+    drop_settled(hits)
+    linked = classes.select("c1", "c2", "item", "place.id").join(joined, "item")
+    first = linked.groupBy("component").agg(F.min("id").alias("first"))
+    of_class = linked.join(first, "component").select("c1", "c2", "first")
+    of_class = classes.select("c1", "c2", "place.id").join(of_class, ["c1", "c2"], "left").select("c1", "c2", F.coalesce("first", "id").alias("component"))
+    placed = signed.select("id", "n_shingles", "c1", "c2").join(of_class, ["c1", "c2"], "left")
+    component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("id"))
+    out = placed.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"))
+    return out.withColumn("kept", F.col(f"`{id_col}`") == F.col("component_id"))
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, for every row of ``documents``: three words, 0.85.
+
+    Null, empty and wordless texts have no shingles and stand alone. Repeated
+    rows each have their row; rows of one id are told apart by their texts.
+    No documents, no rows.
+    """
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), size=3, least=85)

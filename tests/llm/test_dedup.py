@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from lectern.llm import lines, links, neardup, suffixes
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, item string, size int, body string, bucket int"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, item string, size int, body string, bucket int, id int, mark int, spans int, gone int, __gone int, __spans int, line int"
 
 
 def frame(spark, texts):
-    return spark.createDataFrame([(k, t, "en", "s", len(t or ""), "clash", 1, "clash", 2) for k, t in texts], DOCS)
+    return spark.createDataFrame([(k, t, "en", "s", len(t or ""), "clash", 1, "clash", 2, 3, 4, 5, 6, 7, 8, 9) for k, t in texts], DOCS)
 
 
 def word_texts(seed=0, families=12):
@@ -206,13 +206,31 @@ def test_suffixes(spark, monkeypatch, length, most):
             assert left[key] == text
 
 
+def test_two_lengths_at_once(spark):
+    texts = repeated_texts(3)
+    want = {n: brute.repeated_cover(dict(texts), n) for n in (20, 12)}
+    for r in suffixes.repeated_spans(frame(spark, texts), length=20, passage=12).collect():
+        assert (r.spans or [], r.passages or []) == (spans_of(want[20][r.doc_id]), spans_of(want[12][r.doc_id]))
+
+
+def test_periodic_texts(spark):
+    """One row of anchors stands for the equal places of a periodic text."""
+    texts = [(1, "a" * 5000), (2, "ab" * 900), (3, "x" + "abc" * 300), (4, "y" * 19)]
+    want = brute.repeated_cover(dict(texts), 20)
+    got = {r.doc_id: r.spans or [] for r in suffixes.repeated_spans(frame(spark, texts), length=20).collect()}
+    assert got == {k: spans_of(f) for k, f in want.items()}
+    marked = suffixes._marked(frame(spark, texts[:1]), "doc_id", "text").select("id", "mark", "body")
+    assert suffixes._find_anchors(marked, (20,)).count() < 60
+
+
 def test_suffix_query(spark, sf_dir):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
-    want = brute.repeated_cover(texts, 400)
+    want, passages = brute.repeated_cover(texts, 400), brute.repeated_cover(texts, suffixes.PASSAGE)
     for r in suffixes.op2_suffix_dedup(spark, sf_dir).collect():
         body, flags = (texts[r.doc_id] or "").encode(), want[r.doc_id]
         kept = bytes(np.frombuffer(body, np.uint8)[np.frombuffer(flags, np.uint8) == 0])
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(body), sum(flags), len(spans_of(flags)), hashlib.sha256(kept).hexdigest())
+        assert r.n_passage_bytes == sum(passages[r.doc_id])
 
 
 def test_suffix_sort_and_collisions():
@@ -266,3 +284,43 @@ def test_pipeline(spark, sf_dir, tmp_path):
         docs = out
     assert docs.select("doc_id").distinct().count() == len(before)
     assert docs.filter(F.col("length") * 4 != F.octet_length("ids")).count() == 0
+
+
+def test_rows_of_one_id_with_different_texts(spark):
+    """Each row is judged by its own text."""
+    words = [f"w{i}" for i in range(100)]
+    texts = [(1, "some other text that stands alone"), (1, " ".join(words[:99])), (2, " ".join(words))]
+    for order in (texts, texts[::-1]):
+        got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in neardup.near_duplicates(frame(spark, order), size=3, least=85).collect())
+        assert got == [(1, 4, 1), (1, 97, 1), (2, 98, 1)]
+    rows = [(1, "a line of its own here\nunique second line"), (1, "another first line, quite different\nshared line of two documents"), (2, "shared line of two documents\nthe end")]
+    left = sorted(r.text for r in lines.dedup_lines(frame(spark, rows)).collect())
+    assert left == sorted([rows[0][1], rows[1][1], "the end"])
+
+
+def test_log_of_equal_lines(spark):
+    text = "\n".join(["the same line again and again"] * 30_000)
+    got = {r.doc_id: r.text for r in lines.dedup_lines(frame(spark, [(1, text), (2, text)])).collect()}
+    assert got == {1: "the same line again and again", 2: ""}
+
+
+def test_similar_lines_counts_exactly():
+    rng = random.Random(6)
+    pool = ["".join(rng.choice("ab é日") for _ in range(rng.randint(1, 40))) for _ in range(60)]
+    pool += [x[:-1] + "z" for x in pool]
+    left, right = (list(x) for x in zip(*[(a, b) for a in pool for b in pool], strict=True))
+    sets = [lines.line_shingles(x) for x in pool]
+    want = [100 * len(a & b) >= 80 * len(a | b) for a in sets for b in sets]
+    assert lines.similar_lines(left, right).tolist() == want
+
+
+def test_estimates_agree(spark):
+    """The column's estimate is the function's."""
+    rng = np.random.default_rng(1)
+    for count in (54, 120):
+        m = rng.integers(0, 4, (20, count), dtype=np.uint64).astype(np.uint32)
+        words = links.pack_planes(m).tolist()
+        df = spark.createDataFrame([(words[i], words[i + 1]) for i in range(0, 20, 2)], "a array<bigint>, b array<bigint>")
+        got = [r[0] for r in df.select(links.estimated(F.col("a"), F.col("b"), count)).collect()]
+        number = [int.from_bytes(links.pack_low_bits(x), "little") for x in m]
+        assert np.allclose(got, [links.estimate(number[i], number[i + 1], count) for i in range(0, 20, 2)])
