@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import sys
 import tempfile
 import types
@@ -39,8 +40,8 @@ def words(text: Column) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir, which all executors share.
 
-    Where the session names none (tests, a notebook) a temporary folder is
-    set for it.
+    Where a local session names none (tests, a notebook) a temporary folder is
+    set for it; on a cluster executors could not see it, so there it is an error.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -49,6 +50,8 @@ def shared_dir(spark: SparkSession) -> str:
     held = sc._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
+    if not re.fullmatch(r"local(\[[^,]*(,\s*\d+)?\])?", sc.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="lectern-"))
     return sc._jsc.sc().getCheckpointDir().get()
 

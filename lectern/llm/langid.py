@@ -13,17 +13,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table
 
 SEGMENT = 64
 HIDDEN = 10
-#: The training sample: rows a language, segments a row, and languages.
+#: The training sample: rows a language, segments a row.
 ROWS_PER_LANGUAGE = 400
 SEGMENTS_PER_ROW = 6
-MOST_LANGUAGES = 64
 STEPS, BATCH, RATE = 320, 192, 0.02
 #: Segments that prediction runs at once.
 LANES = 2048
@@ -192,33 +191,33 @@ def held_out(doc_id: Column) -> Column:
 def training_sample(docs: DataFrame, id_col: str, text: str, lang: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Segments, class numbers and languages of a bounded sample of ``docs``.
 
-    The ``MOST_LANGUAGES`` most frequent languages, ``ROWS_PER_LANGUAGE`` rows
-    of each by the least hash of their id, ``SEGMENTS_PER_ROW`` segments spread
-    over each row's whole text: what reaches the driver has that bound.
+    Every language; ``ROWS_PER_LANGUAGE`` rows of each by the least hash of
+    their id, ``SEGMENTS_PER_ROW`` segments spread over each row's whole text,
+    or its only one: what reaches the driver has that bound for a language.
+    Two passes: counts, then the rows whose hash lies in the share that holds
+    enough of them.
     """
-    known = docs.filter(F.col(lang).isNotNull() & F.col(text).rlike(LETTER))
-    languages = sorted(r[0] for r in known.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(MOST_LANGUAGES).collect())
-    mixed = F.xxhash64(F.lit("sample"), F.col(id_col))
-    picked = [
-        r[0]
-        for name in languages
-        for r in known.filter(F.col(lang) == name).select(F.col(id_col).alias("id")).orderBy(F.xxhash64(F.lit("sample"), F.col("id")), "id").limit(ROWS_PER_LANGUAGE).collect()
-    ]
-    most = ROWS_PER_LANGUAGE * len(languages)
+    known = docs.filter(F.col(lang).isNotNull() & F.col(text).rlike(LETTER)).select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
+    share = F.least(F.lit(1.0), 3.0 * ROWS_PER_LANGUAGE / F.col("count"))
+    # One row a language.
+    limits = known.groupBy("lang").count().select("lang", share.alias("share"))
+    mixed = F.xxhash64(F.lit("sample"), F.col("id"))
+    near = known.withColumn("mixed", mixed).join(F.broadcast(limits), "lang").filter(F.col("mixed") / 2.0**64 + 0.5 <= F.col("share"))
+    order = Window.partitionBy("lang").orderBy("mixed", "id", "text")
+    rows = near.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= ROWS_PER_LANGUAGE)
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 rows, lengths, _ = cut([data])
-                full = rows[lengths > SEGMENT // 2]
+                full = rows[lengths > SEGMENT // 2] if len(rows) > 1 else rows
                 for i in sorted(set(np.linspace(0, len(full) - 1, SEGMENTS_PER_ROW).astype(int).tolist())) if len(full) else []:
                     out.append((name, full[i].tobytes()))
             cols = list(zip(*out, strict=True)) or [(), ()]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.binary())], ["lang", "bytes"])
 
-    rows = known.filter(F.col(id_col).isin(picked)).orderBy(mixed, id_col).limit(most) if picked else known.limit(0)
-    got = rows.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("binary").alias("bytes")).mapInArrow(segments, "lang string, bytes binary").collect()
+    got = rows.select("lang", F.col("text").cast("binary").alias("bytes")).mapInArrow(segments, "lang string, bytes binary").collect()
     got = sorted((r["lang"], bytes(r["bytes"])) for r in got)
     languages = sorted({n for n, _ in got})
     xs = np.frombuffer(b"".join(b for _, b in got), np.uint8).reshape(-1, SEGMENT)
@@ -255,6 +254,12 @@ def identify(df: DataFrame, model: Model | None, id_col: str = "doc_id", text: s
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score, for every row of ``documents``, by its whole text.
+
+    Null texts and texts without a letter are ``und`` with score 0, and so are
+    all texts if no row can be learned from. Repeated rows repeat. No
+    documents, no rows.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     xs, ys, languages = training_sample(docs.filter(~held_out(F.col("doc_id"))), "doc_id", "text", "lang")
     model = train(xs, ys, languages) if languages else None

@@ -84,6 +84,8 @@ def _decode_netpbm(data: bytes) -> np.ndarray:
         values = [int(c) for c in body.decode("ascii", "replace") if c in "01"] if kind == 1 else [int(x) for x in body.split()]
         if len(values) < count:
             raise MediaError("samples are missing")
+        if not all(0 <= v <= most for v in values[:count]):
+            raise MediaError("a sample is out of range")
         out = np.array(values[:count], np.uint16 if most > 255 else np.uint8)
     elif kind == 4:
         line = -(-width // 8)
@@ -120,9 +122,23 @@ def _decode_bmp(data: bytes) -> np.ndarray:
         palette[: len(given)] = given
         return palette[body[:, :width]][:, :, 2::-1]
     each = bits // 8
+    if packed == 3:
+        return _masked(body[:, : width * 4].copy().view("<u4").reshape(rows, width), struct.unpack("<III", data[54:66]))
     return body[:, : width * each].reshape(rows, width, each)[:, :, 2::-1]
 
 
+def _masked(pixels: np.ndarray, masks: tuple[int, int, int]) -> np.ndarray:
+    """Red, green and blue in 8 bits of 32-bit pixels, by their bit fields."""
+    out = np.empty((*pixels.shape, 3), np.uint8)
+    for k, mask in enumerate(masks):
+        if not mask:
+            raise MediaError("a BMP bit field is empty")
+        shift = (mask & -mask).bit_length() - 1
+        top = mask >> shift
+        out[:, :, k] = ((pixels & np.uint32(mask)) >> np.uint32(shift)).astype(np.float64) * (255 / top) + 0.5
+    return out
+
+
 def decode_image(data: bytes) -> np.ndarray:
     """Array (height, width) or (height, width, 3); raises MediaError."""
     try:
@@ -130,7 +146,7 @@ def decode_image(data: bytes) -> np.ndarray:
             return _decode_netpbm(data)
         if data[:2] == b"BM":
             return _decode_bmp(data)
-    except (struct.error, ValueError, IndexError) as e:
+    except (struct.error, ValueError, IndexError, OverflowError, MemoryError) as e:
         raise e if isinstance(e, MediaError) else MediaError(str(e)) from e
     raise MediaError("neither Netpbm nor BMP")
 
@@ -224,7 +240,11 @@ def store_texts(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> Da
 
 
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts stored as images, read back, with what each holds and a feature."""
+    """Texts of ``documents`` stored as images, read back, with what each holds and a feature.
+
+    Null and empty texts are one block of padding. Repeated rows repeat; equal
+    texts have equal values. No documents, no rows.
+    """
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

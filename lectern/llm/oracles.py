@@ -54,7 +54,15 @@ FROM r"""
 
 
 def op8_sql() -> str:
-    from .urls import LIMIT, RULES, SECOND_LEVEL, STRENGTH, Z
+    from .urls import LIMIT, RULES, SECOND_LEVEL, STRENGTH, STRONGEST, WEAKEST, Z
+
+    def strength(level: int, counts: str) -> str:
+        v = "n * prior * (1 - prior)"
+        return f"""(SELECT CASE WHEN coalesce(room, 0) <= 0 THEN {STRENGTH[level]}::DOUBLE WHEN ov <= 0 THEN {STRONGEST}::DOUBLE
+          ELSE greatest({WEAKEST}::DOUBLE, least({STRONGEST}::DOUBLE, round(room / ov - 1, 3))) END AS strength
+          FROM (SELECT sum((bad - n * prior) * (bad - n * prior) - {v}) AS ov, sum((n - 1) * {v}) AS room FROM {counts}))"""
+
+    rate = "(bad + strength * prior) / (n + strength)"
 
     two = _list(SECOND_LEVEL)
     rules = sorted(RULES, key=lambda r: (-len(r[0]), r[0]))
@@ -69,16 +77,19 @@ WITH p AS (
          regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
 l AS (SELECT doc_id, max((toxic = 1 OR quality = 0)::INT) AS bad FROM labels GROUP BY doc_id),
 h AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad FROM p LEFT JOIN l ON page_id = doc_id GROUP BY host),
-s AS (SELECT *, string_split(host, '.') AS ls FROM h),
+s AS (SELECT *, string_split(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '.') AS ls FROM h),
 t AS (SELECT host, n, bad, array_to_string(ls[greatest(len(ls) - 1, 1):], '.') AS two, ls FROM s),
 k AS (SELECT host, n, bad, CASE WHEN list_contains({two}, two) THEN array_to_string(ls[greatest(len(ls) - 2, 1):], '.') ELSE two END AS domain,
              CASE WHEN list_contains({two}, two) THEN two ELSE ls[len(ls)] END AS suffix FROM t),
 d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM k GROUP BY ALL),
 u AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY ALL),
-r AS (SELECT (sum(bad) + 0.5::DOUBLE) / (sum(n) + 1.0::DOUBLE) AS rate FROM u),
-ur AS (SELECT suffix, (bad + {STRENGTH[0]}::DOUBLE * r.rate) / (n + {STRENGTH[0]}::DOUBLE) AS rate FROM u, r),
-dr AS (SELECT domain, (d.bad + {STRENGTH[1]}::DOUBLE * ur.rate) / (d.n + {STRENGTH[1]}::DOUBLE) AS rate FROM d JOIN ur USING (suffix)),
-ab AS (SELECT host, bad + {STRENGTH[2]}::DOUBLE * dr.rate AS a, n + {STRENGTH[2]}::DOUBLE AS m FROM k JOIN dr USING (domain)),
+r AS (SELECT (sum(bad) + 0.5::DOUBLE) / (sum(n) + 1.0::DOUBLE) AS prior FROM u),
+up AS (SELECT suffix, n, bad, r.prior FROM u, r),
+ur AS (SELECT suffix, {rate} AS prior FROM up, {strength(0, 'up')}),
+dp AS (SELECT domain, d.n, d.bad, ur.prior FROM d JOIN ur USING (suffix)),
+dr AS (SELECT domain, {rate} AS prior FROM dp, {strength(1, 'dp')}),
+hp AS (SELECT host, k.n, k.bad, dr.prior FROM k JOIN dr USING (domain)),
+ab AS (SELECT host, bad + strength * prior AS a, n + strength AS m FROM hp, {strength(2, 'hp')}),
 hr AS (SELECT host, a / m AS mean, sqrt(a * (m - a) / (m * m * (m + 1.0::DOUBLE))) AS sd FROM ab),
 o AS (SELECT page_id, host, path, CASE {' '.join(fits)} END AS rule, mean, mean - {Z}::DOUBLE * sd AS bound FROM p JOIN hr USING (host))
 SELECT page_id, host, path, rule, CASE {said} WHEN bound > {LIMIT}::DOUBLE THEN 'block' ELSE 'allow' END AS verdict,

@@ -27,6 +27,8 @@ from .common import per_worker, table
 CAPACITY = 2048
 END_ID = 1
 POOL = 2048
+#: Characters of words that a cache holds.
+CACHE_BYTES = 64_000_000
 #: Bits of a sequence id below the task's number.
 TASK_BITS = 32
 
@@ -51,6 +53,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.most = most
         self.known: dict[str, bytes] = {}
+        self.held = 0
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -99,10 +102,11 @@ class WordEncoder:
         split = [None if self.ODD.search(t) else self._lower(t).split() for t in texts]
         every = set().union(*[ws for ws in split if ws])
         fresh = every.difference(self.known)
-        if len(self.known) + len(fresh) > self.most:
-            self.known = {}
+        if len(self.known) + len(fresh) > self.most or self.held > CACHE_BYTES:
+            self.known, self.held = {}, 0
             fresh = every
         self._learn(fresh)
+        self.held += sum(map(len, fresh))
         get = self.known.__getitem__
         return [self._whole(t) if ws is None else b"".join(map(get, ws)) for t, ws in zip(texts, split, strict=True)]
 
@@ -244,6 +248,11 @@ def pack_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for every piece of every row of ``documents``, whole.
+
+    Null and empty texts are the end id alone. Repeated rows are packed each
+    for itself. No documents, no rows.
+    """
     import public_tokenizers
 
     packed = pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))

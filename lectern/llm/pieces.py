@@ -3,13 +3,14 @@
 A text, its spaces marked, falls into marked words that no piece crosses. The
 distinct words of a block are sorted, which lays them out as the depth-first
 order of their trie: what two neighbours share is a prefix whose forward
-scores are computed once.
-
-The vocabulary is of merges, so the score of a path is not a sum of piece
-scores: a transition between two pieces scores 0 if the merge order leaves
-them apart and minus infinity if a merge would join across them. With these
-transitions exactly one path to every prefix stays finite, and it is the
-library's own segmentation; the forward state of a prefix is its last piece.
+scores are computed once. The forward state of a prefix is its best score, the
+last piece of that path and where it starts; ids are read off backwards.
+
+With a ``ScoredVocabulary`` the score of a path is the sum of its pieces'. The
+public vocabulary is of merges, where that would not give its ids: there a
+transition between two pieces scores 0 if the merge order leaves them apart and
+minus infinity if a merge would join across them, so exactly one path to every
+prefix stays finite, and it is the library's own segmentation.
 Characters outside the vocabulary become their UTF-8 bytes.
 """
 
@@ -57,6 +58,8 @@ class Vocabulary:
                 self.rank[piece] = int(-sp.get_score(i))
         self.longest = max(map(len, self.pieces), default=1)
         self.split: dict[str, tuple[str, str] | None] = {}
+        #: Scores that add up along a path, by id; None where merges decide.
+        self.gain: dict[int, float] | None = None
 
     def merge(self, word: str) -> tuple[list[str], tuple[str, str] | None]:
         """Pieces of ``word`` by merging the best-ranked neighbours, and the last merge."""
@@ -120,6 +123,26 @@ class Vocabulary:
 
 
 START, BARRIER = -1, -2
+#: Score of a path that cannot be, and of a character outside the vocabulary.
+NOWHERE, BARRIER_SCORE = float("-inf"), -1e6
+#: Characters of words and bytes of ids that a cache holds.
+CACHE_BYTES = 64_000_000
+
+
+class ScoredVocabulary:
+    """Pieces with scores: the best path is the one of the greatest sum, ties to the longest last piece."""
+
+    def __init__(self, scores: dict[str, float]) -> None:
+        self.pieces = {p: k for k, p in enumerate(scores)}
+        self.gain = {k: scores[p] for p, k in self.pieces.items()}
+        self.byte_ids = list(range(len(scores), len(scores) + 256))
+        self.as_bytes = [*[p.replace(MARK, " ").encode() for p in scores], *[bytes([b]) for b in range(256)]]
+
+    def halves(self, piece: str) -> None:
+        return None
+
+    def stay_apart(self, left: str, right: str) -> bool:
+        return True
 
 
 class TrieEncoder:
@@ -129,9 +152,10 @@ class TrieEncoder:
     feeds are no piece, so they end a word and begin one without a mark.
     """
 
-    def __init__(self, path: str, most: int = 500_000) -> None:
-        self.vocabulary = v = Vocabulary(path)
+    def __init__(self, path: str | ScoredVocabulary, most: int = 500_000) -> None:
+        self.vocabulary = v = Vocabulary(path) if isinstance(path, str) else path
         self.most = most
+        self.held = 0
         self.known: dict[str, bytes] = {}
         self.names = {i: p for p, i in v.pieces.items()}
         self.codes = {i: i.to_bytes(4, "little") for i in self.names}
@@ -153,18 +177,21 @@ class TrieEncoder:
     def encode_words(self, ordered: list[str]) -> Iterator[tuple[str, bytes]]:
         """``ordered``: distinct words, sorted. Yields each with its ids."""
         backward, fit, codes, names, stay = self.backward, self.fit, self.codes, self.names, self.vocabulary.stay_apart
-        # Forward state of each prefix of the current branch: its last piece
-        # and its ids. A character outside the vocabulary is a barrier.
+        # Forward state of each prefix of the current branch: its score, its
+        # last piece, and where that piece starts. Memory is linear in a word.
+        # A character outside the vocabulary is a barrier.
+        score: list[float] = [0.0]
         last: list[int] = [START]
-        ids: list[bytes] = [b""]
+        back: list[int] = [0]
         path = ""
+        gain = self.vocabulary.gain
         for word in ordered:
             shared = 0
             for x, y in zip(path, word, strict=False):
                 if x != y:
                     break
                 shared += 1
-            del last[shared + 1 :], ids[shared + 1 :]
+            del score[shared + 1 :], last[shared + 1 :], back[shared + 1 :]
             for end in range(shared, len(word)):
                 node, start, found = backward, end, []
                 while start >= 0:
@@ -174,24 +201,35 @@ class TrieEncoder:
                     if "" in node:
                         found.append((node[""], start))
                     start -= 1
+                best, choice = NOWHERE, None
                 for piece, start in reversed(found):
                     left = last[start]
-                    if left < 0:
-                        break
-                    both = left << 32 | piece
-                    fits = fit.get(both)
-                    if fits is None:
-                        fits = fit[both] = stay(names[left], names[piece])
-                    if fits:
-                        break
-                if found:
-                    last.append(piece)
-                    ids.append(ids[start] + codes[piece])
-                else:
-                    last.append(BARRIER)
-                    ids.append(ids[end] + self._unknown(word[end]))
+                    if gain is not None:
+                        value = score[start] + gain[piece]
+                    elif left < 0:
+                        value = score[start]
+                    else:
+                        both = left << 32 | piece
+                        fits = fit.get(both)
+                        if fits is None:
+                            fits = fit[both] = stay(names[left], names[piece])
+                        value = score[start] if fits else NOWHERE
+                    if value > best:
+                        best, choice = value, (piece, start)
+                        if gain is None:
+                            break  # one path stays finite
+                if choice is None:
+                    best, choice = score[end] + BARRIER_SCORE, (BARRIER, end)
+                score.append(best)
+                last.append(choice[0])
+                back.append(choice[1])
             path = word
-            yield word, ids[-1]
+            at, found_ids = len(word), []
+            while at:
+                start = back[at]
+                found_ids.append(codes[last[at]] if last[at] >= 0 else self._unknown(word[start]))
+                at = start
+            yield word, b"".join(reversed(found_ids))
 
     def _learn(self, fresh: set[str]) -> None:
         """``fresh``: keys. Those with line feeds are put together from parts."""
@@ -201,7 +239,8 @@ class TrieEncoder:
         found[""] = b""
         feed = self._unknown("\n")
         for k in fresh:
-            self.known[k] = feed.join([found[p] for p in parts[k]]) if k in parts else found[MARK + k]
+            ids = self.known[k] = feed.join([found[p] for p in parts[k]]) if k in parts else found[MARK + k]
+            self.held += len(k) + len(ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -212,8 +251,8 @@ class TrieEncoder:
             else:
                 split.append(t.split(" "))
         fresh = {w for ws in split for w in ws}.difference(self.known)
-        if len(self.known) + len(fresh) > self.most:
-            self.known = {}
+        if len(self.known) + len(fresh) > self.most or self.held > CACHE_BYTES:
+            self.known, self.held = {}, 0
             fresh = {w for ws in split for w in ws}
         self._learn(fresh)
         get = self.known.__getitem__
@@ -281,7 +320,11 @@ def decode_pieces(df: DataFrame, model_path: str, id_col: str = "doc_id", ids: s
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_ids, ids_crc32, and the CRC of the text decoded from the ids."""
+    """doc_id, n_ids, ids_crc32, the CRC of the text decoded from the ids, and whether it is the text.
+
+    One row for every row of ``documents``. Null and empty texts have no ids.
+    Repeated rows repeat. No documents, no rows.
+    """
     import public_tokenizers
 
     path = public_tokenizers.path("piece_bpe_32k.model")

@@ -154,6 +154,11 @@ def filter_quality(df: DataFrame, text: str = "text", thresholds=THRESHOLDS) ->
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, ratios, base_failed and kept, for every row of ``documents``.
+
+    Null and empty texts have no words and fail. Repeated rows repeat. No
+    documents, no rows.
+    """
     q = score_quality(table(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     ratios = ("mean_word_chars", "symbol_ratio", "stop_word_ratio", "dup_line_ratio")

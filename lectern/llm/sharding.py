@@ -15,13 +15,15 @@ All work on rows is native: hash, partial sums, one shuffle by (unit, sub).
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import free_name, table
 
 UNIT_BITS = 15
-SUBS = 32
+SUBS = 1024
 SHARDS = 40
 OVERHEAD = 16
 
@@ -38,7 +40,7 @@ def greedy_cuts(sizes: list[tuple[int, int]], capacity: int) -> list[int]:
 
 
 def minimax_cuts(sizes: list[tuple[int, int]], shards: int) -> tuple[int, list[int]]:
-    """The least capacity with at most ``shards`` greedy runs, and their cuts.
+    """The least capacity with at most ``shards`` runs, and cuts that keep it.
 
     ``sizes``: (unit, size) in order. No units: capacity 0, no cuts.
     """
@@ -52,7 +54,36 @@ def minimax_cuts(sizes: list[tuple[int, int]], shards: int) -> tuple[int, list[i
             high = middle
         else:
             low = middle + 1
-    return low, greedy_cuts(sizes, low)
+    return low, spread_cuts(sizes, low, shards)
+
+
+def spread_cuts(sizes: list[tuple[int, int]], capacity: int, shards: int) -> list[int]:
+    """The first unit of every shard, none above ``capacity``, each end as near to an even share as can be.
+
+    A greedy fill leaves all slack to the last shard. Here a shard ends where
+    the sum so far is closest to its even part, among the ends that keep it
+    within the capacity and leave a rest that the other shards can take.
+    """
+    upto = [0]
+    for _, size in sizes:
+        upto.append(upto[-1] + size)
+    n, total = len(sizes), upto[-1]
+    # least[k]: the first unit from which the rest fits k shards, filled from the back.
+    least = [n]
+    for _ in range(shards):
+        least.append(bisect_left(upto, upto[least[-1]] - capacity))
+    cuts, at = [], 0
+    for k in range(shards):
+        if at == n:
+            break
+        cuts.append(sizes[at][0])
+        low, high = max(at + 1, least[shards - k - 1]), bisect_right(upto, upto[at] + capacity) - 1
+        share = total * (k + 1) / shards
+        end = min(max(bisect_left(upto, share), low), high)
+        if end - 1 >= low and share - upto[end - 1] < upto[end] - share:
+            end -= 1
+        at = end
+    return cuts
 
 
 def balanced_cuts(sizes: list[tuple[int, int]], shards: int) -> tuple[list[int], list[int]]:
@@ -86,32 +117,36 @@ def assign_shards(df: DataFrame, id_col: str = "doc_id", text: str = "text", sha
 
     Null text has no bytes and groups with the empty text. Repeated rows and
     equal ids each get a slot of their own. An empty table gives no rows.
-    ``carry`` names further columns to keep.
+    ``carry`` names further columns to keep; one that has the name of a result
+    column gets an underscore before it.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    unit, sub, first = (free_name(df, c) for c in ("unit", "sub", "first"))
+    results = {id_col.lower(), "size", "text_crc32", "shard", "slot"}
     rows = df.select(
-        F.col(id_col),
+        F.col(f"`{id_col}`"),
         (F.octet_length(body).cast("long") + overhead).alias("size"),
         F.crc32(body.cast("binary")).alias("text_crc32"),
-        (F.conv(F.substring(F.md5(body.cast("binary")), 1, 8), 16, 10).cast("long") / 2 ** (32 - UNIT_BITS)).cast("int").alias("unit"),
-        F.pmod(F.xxhash64(F.col(id_col)), F.lit(SUBS)).cast("int").alias("sub"),
-        *[F.col(f"`{c}`") for c in carry],
+        (F.conv(F.substring(F.md5(body.cast("binary")), 1, 8), 16, 10).cast("long") / 2 ** (32 - UNIT_BITS)).cast("int").alias(unit),
+        F.pmod(F.xxhash64(F.col(f"`{id_col}`")), F.lit(SUBS)).cast("int").alias(sub),
+        *[F.col(f"`{c}`").alias(f"_{c}" if c.lower() in results else c) for c in carry],
     )
-    loads = rows.groupBy("unit", "sub").agg(F.sum("size").alias("load"), F.count(F.lit(1)).alias("n"))
+    loads = rows.groupBy(unit, sub).agg(F.sum("size").alias("load"), F.count(F.lit(1)).alias("n"))
     # At most 2 ** UNIT_BITS numbers.
-    sizes = [(r["unit"], r["load"]) for r in loads.groupBy("unit").agg(F.sum("load").alias("load")).collect()]
+    sizes = [(r[0], r[1]) for r in loads.groupBy(unit).agg(F.sum("load")).collect()]
     cuts, apart = balanced_cuts(sorted(sizes), shards)
     # At most 2 ** UNIT_BITS * SUBS rows, however many the table has.
-    before = Window.partitionBy("shard").orderBy("unit", "sub").rowsBetween(Window.unboundedPreceding, -1)
-    starts = loads.withColumn("shard", _shard_of(F.col("unit"), cuts, apart)).select("unit", "sub", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    within = Window.partitionBy("unit", "sub").orderBy(F.col(id_col), "size", "text_crc32")
-    return (
-        rows.join(starts, ["unit", "sub"])
-        .withColumn("slot", (F.col("first") + F.row_number().over(within) - 1).cast("long"))
-        .drop("unit", "sub", "first")
-    )
+    before = Window.partitionBy("shard").orderBy(unit, sub).rowsBetween(Window.unboundedPreceding, -1)
+    starts = loads.withColumn("shard", _shard_of(F.col(unit), cuts, apart)).select(unit, sub, "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias(first))
+    within = Window.partitionBy(unit, sub).orderBy(F.col(f"`{id_col}`"), "size", "text_crc32")
+    return rows.join(starts, [unit, sub]).withColumn("slot", (F.col(first) + F.row_number().over(within) - 1).cast("long")).drop(unit, sub, first)
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Law ``bytes``: size, CRC, shard and slot of every row of ``documents``.
+
+    Null texts have no bytes and group with empty ones. Repeated rows each get
+    a slot. No documents, no rows.
+    """
     out = assign_shards(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int"), "slot", F.lit(None).cast("int").alias("grown_shard"))

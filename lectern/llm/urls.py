@@ -2,7 +2,8 @@
 
 Labelled page outcomes (bad or not) are counted for each host and shrunk
 through beta-binomial priors: the whole table to the suffix, the suffix to the
-registered domain, the domain to the host. A page is blocked where a lower
+registered domain, the domain to the host; the priors' means and strengths
+both come from the counts. A page is blocked where a lower
 bound of its host's posterior bad rate lies above a limit; fixed rules by host
 and path come first.
 """
@@ -24,8 +25,10 @@ RULES: tuple[tuple[str, str], ...] = (
 )
 #: Suffixes of two labels below which a domain is registered.
 SECOND_LEVEL = ("co.uk", "org.uk", "ac.uk", "com.au", "net.au", "co.jp", "co.nz", "com.br", "com.cn", "co.in", "co.za")
-#: Pseudo-counts that a level's parent rate weighs at the level below.
+#: Pseudo-counts that a parent's rate weighs at the level below (suffix,
+#: domain, host) where the counts say nothing, and the bounds of what they say.
 STRENGTH = (50.0, 20.0, 10.0)
+WEAKEST, STRONGEST = 1.0, 1000.0
 #: Blocked if the posterior mean less Z standard deviations exceeds LIMIT.
 Z, LIMIT = 1.645, 0.25
 
@@ -49,6 +52,11 @@ def match_rule(host: Column, path: Column, rules=RULES) -> Column:
     return F.lit(None).cast("string") if out is None else out
 
 
+def site_of(host: Column) -> Column:
+    """The host without user and port, for the levels only."""
+    return F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", "")
+
+
 def suffix_of(host: Column) -> Column:
     two = F.substring_index(host, ".", -2)
     return F.when(two.isin(*SECOND_LEVEL), two).otherwise(F.substring_index(host, ".", -1))
@@ -58,24 +66,42 @@ def domain_of(host: Column) -> Column:
     return F.when(F.substring_index(host, ".", -2).isin(*SECOND_LEVEL), F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
 
 
+def _weigh(counts: DataFrame, default: float) -> DataFrame:
+    """``counts`` (n, bad, prior, ..) with ``strength``: how alike one prior's children are, by moments.
+
+    The squared error of beta-binomial counts is v + (n - 1) v / (strength + 1)
+    with v = n prior (1 - prior); both sides are summed over all children, in
+    one aggregate, whose single row goes back to each.
+    """
+    v = F.col("n") * F.col("prior") * (1 - F.col("prior"))
+    error = F.col("bad") - F.col("n") * F.col("prior")
+    sums = counts.agg(F.sum(error * error - v).alias("over"), F.sum((F.col("n") - 1) * v).alias("room"))
+    said = F.round(F.col("room") / F.col("over") - 1, 3)
+    strength = F.when(F.coalesce(F.col("room"), F.lit(0.0)) <= 0, default).when(F.col("over") <= 0, STRONGEST).otherwise(F.greatest(F.lit(WEAKEST), F.least(F.lit(STRONGEST), said)))
+    return counts.crossJoin(F.broadcast(sums.select(strength.alias("strength"))))  # one row
+
+
 def host_reputation(outcomes: DataFrame, strength=STRENGTH) -> DataFrame:
     """``outcomes`` (host, n, bad: counts a host) to (host, mean, sd).
 
-    Each level's rate is its own counts plus ``strength`` pseudo-counts at its
-    parent's posterior rate. Hosts without labels have their domain's rate.
-    Levels join by key; each is an aggregate of the one below, never larger.
+    Each level's rate is its own counts plus pseudo-counts at its parent's
+    posterior rate; how many is estimated from the level's counts, or is
+    ``strength`` where they say nothing. Hosts without labels have their
+    domain's rate. Users and ports do not part a domain. Levels join by key;
+    each is an aggregate of the one below, never larger.
     """
     h = outcomes.groupBy("host").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    h = h.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
-    d = h.groupBy("domain", "suffix").agg(F.sum("n").alias("dn"), F.sum("bad").alias("dbad"))
-    s = d.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("dbad").alias("sbad"))
-    root = s.agg(F.sum("sn").alias("rn"), F.sum("sbad").alias("rbad")).select(((F.col("rbad") + 0.5) / (F.col("rn") + 1.0)).alias("root"))
-    s = s.crossJoin(F.broadcast(root))  # one row
-    s = s.select("suffix", ((F.col("sbad") + strength[0] * F.col("root")) / (F.col("sn") + strength[0])).alias("srate"))
-    d = d.join(s, "suffix").select("domain", ((F.col("dbad") + strength[1] * F.col("srate")) / (F.col("dn") + strength[1])).alias("drate"))
-    a = F.col("bad") + strength[2] * F.col("drate")
-    total = F.col("n") + strength[2]
-    return h.join(d, "domain").select("host", (a / total).alias("mean"), F.sqrt(a * (total - a) / (total * total * (total + 1.0))).alias("sd"))
+    h = h.withColumn("site", site_of(F.col("host"))).withColumns({"domain": domain_of(F.col("site")), "suffix": suffix_of(F.col("site"))}).drop("site")
+    d = h.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    s = d.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    root = s.agg(((F.sum("bad") + 0.5) / (F.sum("n") + 1.0)).alias("prior"))
+    rate = (F.col("bad") + F.col("strength") * F.col("prior")) / (F.col("n") + F.col("strength"))
+    s = _weigh(s.crossJoin(F.broadcast(root)), strength[0]).select("suffix", rate.alias("prior"))  # one row
+    d = _weigh(d.join(s, "suffix"), strength[1]).select("domain", rate.alias("prior"))
+    h = _weigh(h.join(d, "domain"), strength[2])
+    a = F.col("bad") + F.col("strength") * F.col("prior")
+    total = F.col("n") + F.col("strength")
+    return h.select("host", (a / total).alias("mean"), F.sqrt(a * (total - a) / (total * total * (total + 1.0))).alias("sd"))
 
 
 def filter_urls(pages: DataFrame, labels: DataFrame, page_id: str = "page_id", url: str = "url", rules=RULES, z: float = Z, limit: float = LIMIT, salt_rows: int = 1_000_000) -> DataFrame:
@@ -116,6 +142,12 @@ def filter_urls(pages: DataFrame, labels: DataFrame, page_id: str = "page_id", u
 
 
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outcomes: a page is bad if the labels call its document toxic or of low quality."""
+    """Host, path, rule and verdict of every row of ``pages``.
+
+    A page is bad if the labels call its document toxic or of low quality; of
+    several labels the worst counts. Null urls have empty host and path.
+    Repeated rows repeat; rules of one length tie by their text. No pages, no
+    rows.
+    """
     labels = table(spark, sf_dir, "labels").select("doc_id", ((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("bad"))
     return filter_urls(table(spark, sf_dir, "pages"), labels)

@@ -352,3 +352,135 @@ def test_language_query(spark, sf_dir, docs):
     assert {r.doc_id: r.lang_pred for r in langid.identify(docs.withColumn("score", F.lit(1)), model).collect()} == {1: "und", 2: "und", 3: "und", 4: "x", 5: "x", 6: "x"}
     xs, _, languages = langid.training_sample(docs.limit(0), "doc_id", "text", "lang")
     assert len(xs) == 0 and languages == []
+
+
+def test_samples_out_of_range():
+    for bad in (b"P2 1 1 255 300", b"P2 1 1 255 -1", b"P2 1 1 65535 70000", b"P3 1 1 9 1 2 10"):
+        with pytest.raises(media.MediaError):
+            media.decode_image(bad)
+
+
+def test_other_bitmaps():
+    """8 bits with a palette, 32 bits plain and by bit fields."""
+    import struct
+
+    def bitmap(bits, packed, extra, rows):
+        return struct.pack("<2sIHHI", b"BM", 0, 0, 0, 54 + len(extra)) + struct.pack("<IiiHHIIiiII", 40, 2, 1, 1, bits, packed, 0, 0, 0, 2, 0) + extra + rows
+
+    want = [[[3, 2, 1], [6, 5, 4]]]
+    assert media.decode_image(bitmap(8, 0, bytes([1, 2, 3, 0, 4, 5, 6, 0]), bytes([0, 1, 0, 0]))).tolist() == want
+    assert media.decode_image(bitmap(32, 0, b"", bytes([1, 2, 3, 0, 4, 5, 6, 0]))).tolist() == want
+    masks = struct.pack("<III", 0xFF, 0xFF00, 0xFF0000)
+    assert media.decode_image(bitmap(32, 3, masks, bytes([3, 2, 1, 0, 6, 5, 4, 0]))).tolist() == want
+    with pytest.raises(media.MediaError):
+        media.decode_image(bitmap(32, 3, bytes(12), bytes(8)))
+
+
+def test_long_words_take_linear_memory():
+    import tracemalloc
+
+    encoder = pieces.TrieEncoder(public_tokenizers.path("piece_bpe_32k.model"))
+    word = "abcdefghij" * 4000
+    tracemalloc.start()
+    (ids,) = encoder.encode([word])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40_000_000 and pieces.decode(np.frombuffer(ids, "<u4").tolist(), encoder.vocabulary.as_bytes) == word
+
+
+def test_pieces_with_scores():
+    """The same trie on a vocabulary with scores, against all segmentations."""
+    import random
+
+    random.seed(3)
+    scores = {p: -random.random() * 3 for p in ["▁", *"abc", "▁a", "ab", "bc", "abc", "▁ab", "cab", "bca", "aa"]}
+    encoder = pieces.TrieEncoder(pieces.ScoredVocabulary(scores))
+    names = list(scores)
+
+    def best(word):
+        if not word:
+            return 0.0
+        return max((scores[word[:k]] + best(word[k:]) for k in range(1, len(word) + 1) if word[:k] in scores), default=-1e9)
+
+    for _ in range(100):
+        text = "".join(random.choice("abc ") for _ in range(random.randint(1, 12)))
+        ids = np.frombuffer(encoder.encode([text])[0], "<u4").tolist()
+        assert "".join(names[i] for i in ids) == "▁" + text.replace(" ", "▁")
+        assert abs(sum(scores[names[i]] for i in ids) - sum(best(w) for w in pieces.WORD.findall("▁" + text.replace(" ", "▁")))) < 1e-9
+
+
+def test_pieces_query(spark, sf_dir, texts):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    rows = pieces.op6_sentencepiece(spark, sf_dir).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        ids = sp.encode(texts[r.doc_id] or "")
+        assert (r.n_ids, r.ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        assert r.round_trip and r.decoded_crc32 == zlib.crc32((texts[r.doc_id] or "").encode())
+
+
+def test_packing_query(spark, sf_dir, texts):
+    from tokenizers import Tokenizer
+
+    one = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    by_doc, by_seq = defaultdict(list), defaultdict(list)
+    for r in packing.op9_packing(spark, sf_dir).collect():
+        by_doc[r.doc_id].append(r)
+        by_seq[r.sequence_id].append(r)
+    assert sorted(by_doc) == sorted(texts)
+    for key, rows in by_doc.items():
+        ids, at = np.array([*one.encode(texts[key] or "", add_special_tokens=False).ids, 1], "<u4"), 0
+        for r in sorted(rows, key=lambda r: r.start):
+            assert (r.start, r.doc_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(ids[at : at + r.length].tobytes()))
+            at += r.length
+        assert at == len(ids)
+    for rows in by_seq.values():
+        total = sum(r.length for r in rows)
+        assert sorted(r.offset for r in rows) == [sum(s.length for s in rows if s.offset < r.offset) for r in sorted(rows, key=lambda r: r.offset)]
+        assert total == 2048 or total & (total - 1) == 0
+
+
+def test_every_language_is_learned(spark):
+    rows = [(k, f"text {k} in words", f"l{k % 90}") for k in range(360)] + [(1000, "ab", "tiny")]
+    xs, ys, languages = langid.training_sample(spark.createDataFrame(rows, "id long, body string, tongue string"), "id", "body", "tongue")
+    assert languages == sorted({r[2] for r in rows}) and len(xs) == len(ys) == 361
+
+
+def test_ports_do_not_part_a_domain(spark):
+    hosts = [("a.co.uk:8080", 4, 4), ("me@a.co.uk", 4, 0), ("b.a.co.uk", 0, 0)]
+    sites = spark.createDataFrame(hosts, "host string, n long, bad long").select("host", urls.site_of(F.col("host")).alias("s"))
+    assert {(r.s, r.d, r.u) for r in sites.select("s", urls.domain_of(F.col("s")).alias("d"), urls.suffix_of(F.col("s")).alias("u")).collect()} == {("a.co.uk", "a.co.uk", "co.uk"), ("b.a.co.uk", "a.co.uk", "co.uk")}
+
+
+def test_strength_follows_the_counts(spark):
+    """Hosts that differ much get weak priors, hosts alike strong ones."""
+    rng = np.random.default_rng(3)
+    for concentration, low, high in ((4.0, 3.0, 5.5), (60.0, 40.0, 90.0)):
+        rates = rng.beta(0.3 * concentration, 0.7 * concentration, 4000)
+        rows = [(40, int(rng.binomial(40, p)), 0.3) for p in rates]
+        got = {r.strength for r in urls._weigh(spark.createDataFrame(rows, "n long, bad long, prior double"), 10.0).collect()}
+        assert len(got) == 1 and low < got.pop() < high
+    assert {r.strength for r in urls._weigh(spark.createDataFrame([(0, 0, 0.3)], "n long, bad long, prior double"), 10.0).collect()} == {10.0}
+
+
+def test_spread_cuts():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        sizes = [(k, int(s)) for k, s in enumerate(rng.integers(1, 30, int(rng.integers(1, 60))))]
+        shards = int(rng.integers(1, 12))
+        capacity, cuts = sharding.minimax_cuts(sizes, shards)
+        loads = [sum(s for u, s in sizes if a <= u < b) for a, b in zip(cuts, [*cuts[1:], len(sizes)], strict=True)]
+        assert len(cuts) <= shards and cuts[0] == 0 and max(loads) == capacity and min(loads) > 0
+    sizes = [(k, 10) for k in range(400)] + [(400, 25)]
+    cuts = sharding.minimax_cuts(sizes, 40)[1]
+    loads = [sum(s for u, s in sizes if a <= u < b) for a, b in zip(cuts, [*cuts[1:], 401], strict=True)]
+    assert len(loads) == 40 and min(loads) >= 90
+
+
+def test_carried_columns(docs):
+    rows = docs.withColumns({"unit": F.lit(1), "sub": F.lit(2), "first": F.lit(3), "size": F.lit(4)})
+    out = sharding.assign_shards(rows, shards=3, carry=("unit", "sub", "first", "size"))
+    assert out.columns == ["doc_id", "size", "text_crc32", "unit", "sub", "first", "_size", "shard", "slot"]
+    assert {(r["unit"], r["sub"], r["first"], r["_size"]) for r in out.collect()} == {(1, 2, 3, 4)}
