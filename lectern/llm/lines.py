@@ -30,6 +30,9 @@ BANDS, ROWS = 18, 3
 MARGIN = 0.42
 BUCKETS = [f"b{k}" for k in range(BANDS)]
 SIGNATURE = [f"p{k}" for k in range(LOW_BITS * -(-BANDS * ROWS // 64))]
+#: Shingles by which a count of hashes may fall short, flags of a line's
+#: table, and tables at a time.
+SLACK, FLAGS, TABLES = 2, 1 << 14, 512
 #: Characters that a block of signatures works on.
 CHARS = 400_000
 #: Most bits of the filter that lines pass before an exact join: 16 MB.
@@ -91,38 +94,52 @@ def line_minima(lines: list[str], size: int = SHINGLE) -> np.ndarray:
 
 
 def line_sets(lines: list[str], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of each line, line after line, and how many each has."""
+    """Distinct shingle hashes of each line, line after line, and how many each has.
+
+    Hashes keep the bits that a line's number leaves of 64, so one plain sort
+    does; a line's count may fall short by a collision, hence ``SLACK``.
+    """
     hashes, counts = _hashes(lines, size)
-    owner = np.repeat(np.arange(len(lines)), counts)
-    order = np.lexsort((hashes, owner))
-    hashes, owner = hashes[order], owner[order]
-    new = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])])
-    return hashes[new], np.bincount(owner[new], minlength=len(lines))
+    room = np.uint64(64 - max(1, len(lines).bit_length()))
+    owner = np.repeat(np.arange(len(lines), dtype=np.uint64), counts)
+    keys = np.sort(owner << room | hashes >> (np.uint64(64) - room))
+    keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
+    return keys & ((np.uint64(1) << room) - np.uint64(1)), np.bincount((keys >> room).astype(np.int64), minlength=len(lines))
 
 
 def similar_lines(left: list[str], right: list[str], least: int = LEAST, size: int = SHINGLE) -> np.ndarray:
-    """Whether each pair of lines links: counted on hashes, confirmed on the shingles."""
+    """Whether each pair of lines links.
+
+    Common hashes are counted from above, by a table of flags for each line on
+    the left; pairs that this leaves are confirmed on their shingles.
+    """
     out = np.zeros(len(left), bool)
-    if not left:
-        return out
     place = {x: k for k, x in enumerate(dict.fromkeys([*left, *right]))}
-    values, counts = line_sets(list(place), size)
+    values, counts = [], []
+    for part in _parts(list(place)):
+        found, each = line_sets(part, size)
+        values.append((found & np.uint64(FLAGS - 1)).astype(np.int32))
+        counts.append(each)
+    if not counts:
+        return out
+    values, counts = np.concatenate(values), np.concatenate(counts)
     first = np.cumsum(counts) - counts
     a, b = (np.array([place[x] for x in side]) for side in (left, right))
-    fits = np.flatnonzero(100 * np.minimum(counts[a], counts[b]) >= least * np.maximum(counts[a], counts[b]))
-    total = np.cumsum(counts[a[fits]] + counts[b[fits]])
-    for part in np.split(fits, np.searchsorted(total, np.arange(CHARS, int(total[-1]), CHARS)) if len(fits) else []):
-        if not len(part):
-            continue
-        lines, pair = np.concatenate([a[part], b[part]]), np.tile(np.arange(len(part)), 2)
-        each = counts[lines]
-        at = np.repeat(first[lines] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
-        pair = np.repeat(pair, each)
-        key = values[at] ^ mix(pair.astype(np.uint64) + np.uint64(1))
-        order = np.argsort(key)
-        twice = key[order][1:] == key[order][:-1]
-        both = np.bincount(pair[order[1:][twice]], minlength=len(part))
-        out[part] = 100 * both >= least * (counts[a[part]] + counts[b[part]] - both)
+    fits = np.flatnonzero(100 * (np.minimum(counts[a], counts[b]) + SLACK) >= least * np.maximum(counts[a], counts[b]))
+    fits = fits[np.argsort(a[fits], kind="stable")]
+    spread = lambda rows: np.repeat(first[rows] - (np.cumsum(counts[rows]) - counts[rows]), counts[rows]) + np.arange(int(counts[rows].sum()))
+    hubs, of = np.unique(a[fits], return_inverse=True)
+    for at in range(0, len(hubs), TABLES):
+        some = hubs[at : at + TABLES]
+        flags = np.zeros((len(some), FLAGS), bool)
+        flags[np.repeat(np.arange(len(some)), counts[some]), values[spread(some)]] = True
+        low, high = np.searchsorted(of, [at, at + TABLES])
+        for start in range(low, high, TABLES):
+            part = slice(start, min(start + TABLES, high))
+            pair, other = of[part] - at, b[fits[part]]
+            met = flags[np.repeat(pair, counts[other]), values[spread(other)]]
+            both = np.add.reduceat(met, np.cumsum(counts[other]) - counts[other], dtype=np.int64) + SLACK
+            out[fits[part]] = 100 * both >= least * (counts[hubs[of[part]]] + counts[other] - both)
     for k in np.flatnonzero(out):
         x, y = line_shingles(left[k], size), line_shingles(right[k], size)
         out[k] = 100 * len(x & y) >= least * len(x | y)

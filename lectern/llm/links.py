@@ -23,6 +23,8 @@ from .common import drop_settled, settle
 
 #: Items of a block; a task of the second round holds two blocks.
 BLOCK = 512
+#: Items of a block whose pairs are all looked at together.
+FEW = 16
 LOW_BITS = 2
 
 
@@ -173,48 +175,84 @@ def link_items(hits: DataFrame, items: DataFrame, like: Likeness) -> DataFrame:
     rows = rows.withColumns({"x": F.least("mine", "other"), "y": F.greatest("mine", "other")})
     rows = rows.join(items, "item").select("bucket", "x", "y", "mine", (F.col("item") == F.col("hub")).alias("is_hub"), "item", F.xxhash64("component").alias("component"), "size", "sig", "bands", "body")
 
+    def small(block: pa.Table, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Pairs (rows i, j) of blocks of few rows that may be links, all blocks at once."""
+        i, j = (np.concatenate(x) for x in zip(*[(np.repeat(starts[sizes == n], len(p)) + np.tile(p, (sizes == n).sum()), np.repeat(starts[sizes == n], len(q)) + np.tile(q, (sizes == n).sum())) for n in np.unique(sizes) for p, q in [np.triu_indices(n, 1)]], strict=True))
+        column = lambda c: block.column(c).to_numpy()
+        matrix = lambda c: block.column(c).combine_chunks().flatten().to_numpy().reshape(len(block), -1)
+        hub, component, mine, size = column("is_hub"), column("component"), column("mine"), column("size").astype(np.int64)
+        keep = ~(hub[i] | hub[j]) & (component[i] != component[j]) & ((column("x") == column("y"))[i] | (mine[i] != mine[j]))
+        keep &= 100 * np.minimum(size[i], size[j]) >= like.least * np.maximum(size[i], size[j])
+        i, j = i[keep], j[keep]
+        bands, sig = matrix("bands"), matrix("sig")
+        # A pair that shares several buckets is compared in the first.
+        same = bands[i] == bands[j]
+        keep = bands[i, same.argmax(axis=1)] == column("bucket")[i]
+        i, j = i[keep], j[keep]
+        words = -(-like.count // 64)
+        differ = (sig[i] ^ sig[j]).reshape(len(i), sig.shape[1] // words, words)
+        some = np.bitwise_or.reduce(differ, axis=1).view(np.uint64)
+        agree = 1 - np.bitwise_count(some).sum(axis=1) / like.count
+        chance = 2.0 ** -(sig.shape[1] // words)
+        keep = (agree - chance) / (1 - chance) >= like.floor
+        return np.stack([i[keep], j[keep]])
+
+    def large(block: pa.Table) -> Iterator[tuple[int, int]]:
+        """Links (rows i, j) of one block: rows that a link has joined are not compared again."""
+        hub, mine, component, size, sig, bands, body, x, y, bucket = (block.column(c).to_pylist() for c in ("is_hub", "mine", "component", "size", "sig", "bands", "body", "x", "y", "bucket"))
+        parent: dict = {}
+
+        def root(c):
+            while c in parent:
+                c = parent[c]
+            return c
+
+        sig, shapes = [number(s) for s in sig], {}
+        for i in range(len(body)):
+            for j in range(i):
+                # Pairs with the hub were compared in the first round.
+                if hub[i] or hub[j] or not (x[i] == y[i] or mine[i] != mine[j]) or root(component[i]) == root(component[j]) or not like.plausible(size[i], size[j], sig[i], sig[j]):
+                    continue
+                if next(m for m, n in zip(bands[i], bands[j], strict=True) if m == n) != bucket[i]:
+                    continue
+                for k in (i, j):
+                    if k not in shapes:
+                        shapes[k] = like.shape(body[k])
+                if like.similar(shapes[i], shapes[j]):
+                    parent[root(component[i])] = root(component[j])
+                    yield i, j
+
+    def links_of(block: pa.Table) -> pa.RecordBatch:
+        """Links of whole blocks (bucket, x, y), rows in that order."""
+        key = np.stack([block.column(c).to_numpy().astype(np.int64) for c in ("bucket", "x", "y")])
+        starts = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0)]))
+        sizes = np.diff(np.concatenate([starts, [len(block)]]))
+        few = (sizes <= FEW) & (sizes > 1)
+        i = j = np.empty(0, np.int64)
+        if few.any():
+            i, j = small(block, starts[few], sizes[few])
+            body = block.column("body")
+            keep = like.judge(body.take(pa.array(j)).to_pylist(), body.take(pa.array(i)).to_pylist())
+            i, j = i[keep], j[keep]
+        rest = [(s + p, s + q) for s, n in zip(starts[sizes > FEW].tolist(), sizes[sizes > FEW].tolist(), strict=True) for p, q in large(block.slice(s, n))]
+        rows = (np.concatenate([own, np.array([r[k] for r in rest], np.int64)]) for k, own in enumerate((i, j)))
+        item = block.column("item").combine_chunks()
+        return pa.RecordBatch.from_arrays([item.take(pa.array(r)) for r in rows], ["a", "b"])
+
     def in_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def links_of(bucket: int, within: bool, members: list[tuple]) -> Iterator[tuple]:
-            """Links of a block, members (mine, is_hub, item, component, size, sig, bands, body)."""
-            parent: dict = {}
-
-            def root(c):
-                while c in parent:
-                    c = parent[c]
-                return c
-
-            shapes: dict[int, object] = {}
-            for i, a in enumerate(members):
-                for j in range(i):
-                    b = members[j]
-                    # Pairs with the hub were compared in the first round; a
-                    # pair that shares several buckets is compared in the first.
-                    if a[1] or b[1] or not (within or a[0] != b[0]) or root(a[3]) == root(b[3]) or not like.plausible(a[4], b[4], a[5], b[5]):
-                        continue
-                    if next(m for m, n in zip(a[6], b[6], strict=True) if m == n) != bucket:
-                        continue
-                    for k in (i, j):
-                        if k not in shapes:
-                            shapes[k] = like.shape(members[k][7])
-                    if like.similar(shapes[i], shapes[j]):
-                        parent[root(a[3])] = root(b[3])
-                        yield a[2], b[2]
-
-        key, members = None, []
+        held: list[pa.Table] = []
         for batch in batches:
-            out: list[tuple] = []
-            columns = [batch.column(k).to_pylist() for k in range(11)]
-            for bucket, x, y, mine_, is_hub, item, component, size, sig, bands, body in zip(*columns, strict=True):
-                if key != (bucket, x, y):
-                    if members:
-                        out.extend(links_of(key[0], key[1] == key[2], members))
-                    key, members = (bucket, x, y), []
-                members.append((mine_, is_hub, item, component, size, number(sig), bands, body))
-            yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in out], pa.schema([("a", batch.column(5).type), ("b", batch.column(5).type)]))
-            item_type = batch.column(5).type
-        if members:
-            out = list(links_of(key[0], key[1] == key[2], members))
-            yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in out], pa.schema([("a", item_type), ("b", item_type)]))
+            held.append(pa.Table.from_batches([batch]))
+            whole = pa.concat_tables(held)
+            key = np.stack([whole.column(c).to_numpy().astype(np.int64) for c in ("bucket", "x", "y")])
+            edges = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
+            # The last block may go on in the next batch.
+            held = [whole]
+            if len(edges):
+                yield links_of(whole.slice(0, int(edges[-1])))
+                held = [whole.slice(int(edges[-1]))]
+        if held and len(held[0]):
+            yield links_of(held[0])
 
     second = rows.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "item").mapInArrow(in_block, schema)
     return first.unionByName(settle(second, "links"))
