@@ -16,39 +16,114 @@ from pyspark.sql import types as T
 from .columns import strip
 
 THINKING = re.compile(r"<(think|thinking)>.*?</\1>", re.S | re.I)
-_FENCED = re.compile(r"```(?:json)?\s*(\{.*?\})\s*```", re.S)
-_STRING = re.compile(r'"((?:[^"\\]|\\.)*)"', re.S)
 #: Control characters that JSON made of the first letters of LaTeX commands.
 _EATEN = {"\f": r"\f", "\b": r"\b", "\t": r"\t", "\r": r"\r"}
 
 ENTITY = T.StructType([T.StructField(n, T.StringType()) for n in ("description", "entity_name", "entity_type", "summary")])
 
 
-def candidates(text: str) -> Iterator[str]:
-    """Texts that may be the JSON object meant: fenced, balanced, then outermost."""
-    clean = THINKING.sub("", text)
-    yield from _FENCED.findall(clean)
-    depth, start = 0, -1
-    for m in re.finditer("[{}]", clean):
-        if m[0] == "{":
-            start = m.start() if depth == 0 else start
-            depth += 1
-        else:
-            depth -= 1
-            if depth == 0 and start >= 0:
-                yield clean[start : m.end()]
-    first, last = clean.find("{"), clean.rfind("}")
-    if 0 <= first < last:
-        yield clean[first : last + 1]
+_ESCAPES = {'"': '"', "\\": "\\", "/": "/", "b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t"}
+_WORDS = {"true": True, "false": False, "null": None}
+_NUMBER = re.compile(r"-?\d+(\.\d+)?([eE][+-]?\d+)?")
+
 
+class _Reader:
+    """Reads one JSON value from a place in a text, as leniently as told.
+
+    ``commas``: one may stand before a closing bracket. ``plain``: a backslash
+    before a letter is no escape, as in LaTeX that was not escaped. Deep
+    nesting and anything else out of order raises ValueError.
+    """
 
-def tidy(text: str) -> str:
-    return re.sub(r",(\s*[}\]])", r"\1", text.strip())
+    def __init__(self, text: str, commas: bool, plain: bool) -> None:
+        self.text, self.commas, self.plain = text, commas, plain
+
+    def blank(self, at: int) -> int:
+        while at < len(self.text) and self.text[at] in " \t\n\r":
+            at += 1
+        return at
+
+    def value(self, at: int, depth: int = 0) -> tuple[Any, int]:
+        c = self.text[at : at + 1]
+        if c == '"':
+            return self.string(at + 1)
+        if c and c in "{[" and depth < 100:
+            return self.items(at + 1, c, depth)
+        if number := _NUMBER.match(self.text, at):
+            return json.loads(number[0]), number.end()
+        for word, meaning in _WORDS.items():
+            if self.text.startswith(word, at):
+                return meaning, at + len(word)
+        raise ValueError("no value")
+
+    def items(self, at: int, opened: str, depth: int) -> tuple[Any, int]:
+        closing = "}" if opened == "{" else "]"
+        keys, values, after_comma = [], [], False
+        while True:
+            at = self.blank(at)
+            if self.text[at : at + 1] == closing and (not after_comma or self.commas):
+                return (dict(zip(keys, values, strict=True)) if opened == "{" else values), at + 1
+            if values and not after_comma:
+                raise ValueError("no comma")
+            if opened == "{":
+                if self.text[at : at + 1] != '"':
+                    raise ValueError("no key")
+                key, at = self.string(at + 1)
+                at = self.blank(at)
+                if self.text[at : at + 1] != ":":
+                    raise ValueError("no colon")
+                keys.append(key)
+                at = self.blank(at + 1)
+            found, at = self.value(at, depth + 1)
+            values.append(found)
+            at = self.blank(at)
+            after_comma = self.text[at : at + 1] == ","
+            at += after_comma
+
+    def string(self, at: int) -> tuple[str, int]:
+        out: list[str] = []
+        while True:
+            c = self.text[at : at + 1]
+            if c == '"':
+                return "".join(out), at + 1
+            if not c or c < " ":
+                raise ValueError("an open string")
+            if c != "\\":
+                out.append(c)
+                at += 1
+                continue
+            c = self.text[at + 1 : at + 2]
+            if self.plain and c.isascii() and c.isalpha():
+                out.append("\\")
+                at += 1
+            elif c == "u":
+                out.append(chr(int(self.text[at + 2 : at + 6], 16)))
+                at += 6
+            elif c in _ESCAPES:
+                out.append(_ESCAPES[c])
+                at += 2
+            else:
+                raise ValueError("no escape")
+
+
+def _objects(text: str) -> Iterator[tuple[int, dict]]:
+    """(leniency, object) of the objects in ``text``, none inside another."""
+    at = text.find("{")
+    while at >= 0:
+        for leniency, (commas, plain) in enumerate(((False, False), (True, False), (True, True))):
+            try:
+                found, end = _Reader(text, commas, plain).value(at)
+            except ValueError:
+                continue
+            yield leniency, found
+            at = end - 1
+            break
+        at = text.find("{", at + 1)
 
 
-def double_backslashes(text: str) -> str:
-    """Backslashes before letters in strings doubled, as LaTeX in JSON wants them."""
-    return _STRING.sub(lambda m: '"' + re.sub(r"(?<!\\)\\(?=[A-Za-z])", r"\\\\", m[1]) + '"', text)
+def _fences(text: str) -> list[str]:
+    """What stands between triple backticks, a language's name left out."""
+    return [part.removeprefix("json") for part in text.split("```")[1::2]]
 
 
 def _restored(value: Any) -> Any:
@@ -62,26 +137,32 @@ def _restored(value: Any) -> Any:
     return value
 
 
+def _field(text: str, name: str) -> str | None:
+    """The string after a key, its escapes as they stand; None if it has no end."""
+    at = text.find(f'"{name}":')
+    if at < 0:
+        return None
+    rest = text[at + len(name) + 3 :].lstrip()
+    end = 1
+    while end < len(rest) and rest[end] != '"':
+        end += 2 if rest[end] == "\\" else 1
+    return rest[1:end] if rest[:1] == '"' and end < len(rest) else None
+
+
 def parse_object(text: str) -> dict:
-    """The first object that parses, as it is, tidied, or with backslashes doubled.
+    """The object meant: one that needs the least leniency, a fenced one before others.
 
     An empty object counts as none. Where nothing parses, known fields are
     picked out one by one.
     """
-    found = list(candidates(text))
-    for repair in (str, tidy, lambda x: double_backslashes(tidy(x))):
-        for c in found:
-            try:
-                parsed = json.loads(repair(c))
-            except ValueError:
-                continue
-            if isinstance(parsed, dict) and parsed:
-                return _restored(parsed)
-    field = lambda name: next((m[1] for m in [re.search(rf'"{name}":\s*"((?:[^"\\]|\\.)*)"', text, re.S)] if m), None)
-    description = field("detailed_description") or ""
-    name = field("entity_name") or "entity_" + hashlib.md5(text.encode()).hexdigest()
-    summary = field("summary")
-    return {"detailed_description": description, "entity_info": {"entity_name": name, "entity_type": field("entity_type") or "unknown", "summary": description[:100] if summary is None else summary}}
+    clean = THINKING.sub("", text)
+    found = [x for part in (*_fences(clean), clean) for x in _objects(part) if x[1]]
+    if found:
+        return _restored(min(found, key=lambda x: x[0])[1])
+    description = _field(text, "detailed_description") or ""
+    name = _field(text, "entity_name") or "entity_" + hashlib.md5(text.encode()).hexdigest()
+    summary = _field(text, "summary")
+    return {"detailed_description": description, "entity_info": {"entity_name": name, "entity_type": _field(text, "entity_type") or "unknown", "summary": description[:100] if summary is None else summary}}
 
 
 def describe_entity(answer: str | None, kind: str, body: str, name: str | None = None) -> tuple[str, str, str, str]:
