@@ -16,9 +16,14 @@ def _starts(n: Column, step: int) -> Column:
 def char_windows(docs: DataFrame, size: int, overlap: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, chunk_idx, start, end, content): windows of ``size`` characters."""
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(key, body.alias("body"), F.posexplode(_starts(F.length(body), size - overlap)).alias("chunk_idx", "start"))
-    content = F.expr(f"substring(body, start + 1, {size})")
-    return rows.select(key, "chunk_idx", F.col("start").cast("long").alias("start"), (F.col("start") + F.length(content)).cast("long").alias("end"), content.alias("content"))
+    step = size - overlap
+    # The text falls into steps once; a window is a few steps put together, so
+    # no row carries the whole text and none walks it from the start.
+    rows = docs.select(key, F.regexp_extract_all(body, F.lit(f"(?s).{{1,{step}}}"), F.lit(0)).alias("steps"))
+    window = lambda k: F.substring(F.array_join(F.slice("steps", k + 1, -(-size // step)), ""), 1, size)
+    rows = rows.select(key, F.posexplode(F.transform("steps", lambda _, k: window(k))).alias("chunk_idx", "content"))
+    start = F.col("chunk_idx").cast("long") * step
+    return rows.select(key, "chunk_idx", start.alias("start"), (start + F.length("content")).alias("end"), "content")
 
 
 def word_windows(docs: DataFrame, size: int, overlap: int, key: str = "doc_id", text: str = "text") -> DataFrame:

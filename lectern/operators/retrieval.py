@@ -16,8 +16,13 @@ def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(product, F.lit(0.0).cast("double"), lambda s, x: s + x)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    size = F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b))
+def norm(a: Column) -> Column:
+    return F.sqrt(_dot(a, a))
+
+
+def cosine(a: Column, b: Column, size: Column | None = None) -> Column:
+    """The cosine of two vectors; ``size`` is the product of their norms, where known."""
+    size = norm(a) * norm(b) if size is None else size
     return F.when(size > 0, _dot(a, b) / size).otherwise(F.lit(0.0))
 
 
@@ -26,15 +31,17 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, threshold: f
 
     ``queries`` (query, embedding) is counted first and served in blocks of
     ``QUERY_BLOCK``, each broadcast to one scan; ranks are cut to ``k`` in each
-    task before the shuffle. Ties go to the least id.
+    task before the shuffle. Norms are computed once a vector. Ties go to the
+    least id.
     """
-    numbered = queries.select(query, F.col("embedding").alias("q"))
+    numbered = queries.select(query, F.col("embedding").alias("q"), norm(F.col("embedding")).alias("nq"))
+    sized = vectors.select(vec, "embedding", norm(F.col("embedding")).alias("nv"))
     n = numbered.count()
     blocks = max(1, -(-n // QUERY_BLOCK))
     out = None
     for b in range(blocks):
         part = numbered if blocks == 1 else numbered.filter(F.pmod(F.xxhash64(query), F.lit(blocks)) == b)
-        hits = vectors.select(vec, "embedding").crossJoin(F.broadcast(part)).select(query, vec, cosine(F.col("embedding"), F.col("q")).alias("sim"))
+        hits = sized.crossJoin(F.broadcast(part)).select(query, vec, cosine(F.col("embedding"), F.col("q"), F.col("nv") * F.col("nq")).alias("sim"))
         if threshold is not None:
             hits = hits.filter(F.col("sim") >= threshold)
         out = hits if out is None else out.unionByName(hits)

@@ -15,9 +15,11 @@ from ..operators import retrieval, stores
 #: Texts of tables longer than this enter a key by their digest.
 LONG_TABLE = 200
 MODES = ("local", "global", "hybrid", "naive", "mix", "bypass")
-#: Where a retrieved context names a picture: to the end of the line, or of the
-#: quoted text that holds it.
-IMAGE_LINE = r'(?im)Image Path:\s*(.*?\.(?:jpe?g|png|gif|bmp|webp|tiff?))(?=\s*$|\\n|"|\s*[\r\n,;)\]])'
+#: A retrieved context names a picture after this label. The path ends in a
+#: picture's suffix, on the label's line, before white space or a quote (as they
+#: are or as JSON writes them), perhaps with one mark between.
+LABEL = "(?i)Image Path:"
+PICTURE = r'(?i)[ \t]*+([^\r\n]*?\.(?:jpe?g|png|gif|bmp|webp|tiff?))(?=[.,;:)\]]?(?:["\s\x1c-\x1f]|\\["fnrt]|\\u00(?:0b|1[c-f])|$))'
 
 
 def query_key(query: Column, items: Column, mode: Column, options: Column) -> Column:
@@ -40,7 +42,19 @@ def enhanced(query: Column, descriptions: Column) -> Column:
 
 def image_paths(prompt: Column) -> Column:
     """Paths of pictures that a context names, in order."""
-    return F.regexp_extract_all(prompt, F.lit(IMAGE_LINE), F.lit(1))
+    after = F.split(prompt, LABEL)
+    found = F.transform(F.slice(after, F.lit(2), F.greatest(F.size(after) - 1, F.lit(0))), lambda x: F.regexp_extract(x, f"^{PICTURE}", 1))
+    return F.filter(found, lambda x: x != "")
+
+
+def picture_places(prompt: str) -> list[tuple[int, int]]:
+    """Where the paths of pictures stand; a label's reaches to the next one at most."""
+    labels = [m.end() for m in re.finditer(LABEL, prompt)]
+    pattern, found = re.compile(PICTURE), []
+    for at, stop in zip(labels, [*[k - len("Image Path:") for k in labels[1:]], len(prompt)], strict=False):
+        if m := pattern.match(prompt[at:stop]):
+            found.append((at + m.start(1), at + m.end(1)))
+    return found
 
 
 def safe_path(path: Column, *roots: str) -> Column:
@@ -58,11 +72,11 @@ def vision_messages(prompt: str, pictures: dict[str, str], question: str, system
     """
     parts: list[dict] = []
     at = 0
-    for m in re.finditer(IMAGE_LINE, prompt):
-        if m[1] in pictures:
-            parts.append({"type": "text", "text": prompt[at : m.end()]})
-            parts.append({"type": "image_url", "image_url": {"url": f"data:image/jpeg;base64,{pictures[m[1]]}"}})
-            at = m.end()
+    for start, end in picture_places(prompt):
+        if (path := prompt[start:end]) in pictures:
+            parts.append({"type": "text", "text": prompt[at:end]})
+            parts.append({"type": "image_url", "image_url": {"url": f"data:image/jpeg;base64,{pictures[path]}"}})
+            at = end
     rest = prompt[at:] + f"\n\nQuestion: {question}"
     messages = [{"role": "user", "content": [*parts, {"type": "text", "text": rest}] if parts else rest}]
     return [{"role": "system", "content": system}, *messages] if system else messages

@@ -169,6 +169,8 @@ def label_neighbors_vote(t):
 
 
 _PATTERN = "[A-Z][a-z]+"
+#: Hashes that a broadcast may hold: 16 MB.
+BROADCAST_HASHES = 2_000_000
 _FOUND = f"""
 x AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_PATTERN}')) AS entity FROM documents),
 f AS (SELECT doc_id, entity, count(*) AS n FROM x WHERE length(entity) >= 4 GROUP BY 1, 2)
@@ -206,11 +208,11 @@ def merged_edges(t):
     return graph.merge_edges(graph.belongs_to(_found(t), items, "doc_id"), "doc_id")
 
 
-_SEED = "SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Z][a-z]+')) AS entity FROM benchmark WHERE item_id < 3"
+_SEED = "SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Z][a-z]+')) AS entity FROM benchmark"
 
 
 def _seeds(t):
-    return t("benchmark").filter("item_id < 3").select(F.explode(F.regexp_extract_all("text", F.lit(_PATTERN), F.lit(0))).alias("entity")).distinct()
+    return t("benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(_PATTERN), F.lit(0))).alias("entity")).distinct()
 
 
 _LOCAL = f"""
@@ -225,10 +227,10 @@ glo AS (SELECT doc_id, count(*)::DOUBLE AS score FROM f JOIN ends USING (entity)
 """
 
 
-def _mode(t, mode, naive=None, seeds=None):
+def _mode(t, mode, naive=None):
     found = _found(t)
     empty = t("documents").select("doc_id", F.lit(0.0).alias("score")).limit(0)
-    return retrieval.retrieve(mode, _seeds(t) if seeds is None else seeds, found, graph.neighbours(found, "doc_id"), empty if naive is None else naive, "doc_id")
+    return retrieval.retrieve(mode, _seeds(t), found, graph.neighbours(found, "doc_id"), empty if naive is None else naive, "doc_id")
 
 
 @R.add(f"WITH {_FOUND}, {_EDGES}, {_LOCAL} SELECT * FROM loc")
@@ -246,45 +248,28 @@ def hybrid_union(t):
     return _mode(t, "hybrid")
 
 
-@R.add(f"""WITH {_FOUND}, {_EDGES}, {_LOCAL}, {_GLOBAL},
-n AS (SELECT doc_id, n_chars::DOUBLE / 1000 AS score FROM documents WHERE doc_id < 50)
-SELECT doc_id, round(max(score), 6) AS score FROM (SELECT * FROM loc UNION ALL SELECT * FROM glo UNION ALL SELECT * FROM n) GROUP BY doc_id""")
-def mix_union(t):
-    naive = t("documents").filter("doc_id < 50").select("doc_id", (F.col("n_chars").cast("double") / 1000).alias("score"))
-    return _mode(t, "mix", naive).select("doc_id", F.round("score", 6).alias("score"))
-
-
-# The modes over whole tables: every benchmark row seeds, every document's vector is searched.
-_LOCAL_ALL = _LOCAL.replace(_SEED, "SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Z][a-z]+')) AS entity FROM benchmark")
+_MIX = f"""WITH {_FOUND}, {_EDGES}, {_LOCAL}, {_GLOBAL}, {_VEC},
+n AS (SELECT vec_id AS doc_id, max(sim) AS score FROM r WHERE rank <= 60 AND sim >= 0.2 AND vec_id IN (SELECT doc_id FROM documents) GROUP BY vec_id)
+SELECT doc_id, round(max(score), 6) AS score FROM (SELECT * FROM loc UNION ALL SELECT * FROM glo UNION ALL SELECT * FROM n) GROUP BY doc_id"""
 
 
-def _seeds_all(t):
-    return t("benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(_PATTERN), F.lit(0))).alias("entity")).distinct()
+@R.add(_MIX)
+def mix_union(t):
+    """A vector belongs to the document of its id; the naive score is the best cosine over the queries."""
+    near = _near(t, retrieval.TOP_K, retrieval.THRESHOLD).groupBy(F.col("vec_id").alias("doc_id")).agg(F.max("sim").alias("score"))
+    naive = near.join(t("documents").select("doc_id"), "doc_id", "left_semi")
+    return _mode(t, "mix", naive).select("doc_id", F.round("score", 6).alias("score"))
 
 
-@R.add(f"WITH {_FOUND}, {_EDGES}, {_LOCAL_ALL} SELECT * FROM loc")
+# Earlier names of the same queries.
+@R.add(f"WITH {_FOUND}, {_EDGES}, {_LOCAL} SELECT * FROM loc")
 def local_expand_all(t):
-    return _mode(t, "local", seeds=_seeds_all(t))
-
-
-@R.add(f"WITH {_FOUND}, {_EDGES}, {_LOCAL_ALL}, {_GLOBAL} SELECT * FROM glo")
-def global_edges_all(t):
-    return _mode(t, "global", seeds=_seeds_all(t))
-
-
-@R.add(f"WITH {_FOUND}, {_EDGES}, {_LOCAL_ALL}, {_GLOBAL} SELECT doc_id, max(score) AS score FROM (SELECT * FROM loc UNION ALL SELECT * FROM glo) GROUP BY doc_id")
-def hybrid_union_all(t):
-    return _mode(t, "hybrid", seeds=_seeds_all(t))
+    return local_expand(t)
 
 
-@R.add(f"""WITH {_FOUND}, {_EDGES}, {_LOCAL_ALL}, {_GLOBAL}, {_VEC},
-n AS (SELECT vec_id AS doc_id, max(sim) AS score FROM r WHERE rank <= 60 AND sim >= 0.2 AND vec_id IN (SELECT doc_id FROM documents) GROUP BY vec_id)
-SELECT doc_id, round(max(score), 6) AS score FROM (SELECT * FROM loc UNION ALL SELECT * FROM glo UNION ALL SELECT * FROM n) GROUP BY doc_id""")
+@R.add(_MIX)
 def mix_union_all(t):
-    """A vector belongs to the document of its id; the naive score is the best cosine over the queries."""
-    near = _near(t, retrieval.TOP_K, retrieval.THRESHOLD).groupBy(F.col("vec_id").alias("doc_id")).agg(F.max("sim").alias("score"))
-    naive = near.join(t("documents").select("doc_id"), "doc_id", "left_semi")
-    return _mode(t, "mix", naive, _seeds_all(t)).select("doc_id", F.round("score", 6).alias("score"))
+    return mix_union(t)
 
 
 @R.add("""SELECT lang, doc_id, used::BIGINT AS used FROM (
@@ -306,6 +291,14 @@ def contamination_join(t):
     def grams(df, key):
         ws = F.filter(F.split(F.lower("text"), r"[ \t\n\r\f\x0B]+"), lambda w: w != "")
         rows = df.select(key, ws.alias("ws")).filter(F.size("ws") >= 8)
-        return rows.select(key, F.explode(F.transform(F.sequence(F.lit(1), F.size("ws") - 7), lambda i: F.array_join(F.slice("ws", i, 8), " "))).alias("g")).distinct()
-
-    return grams(t("documents"), "doc_id").join(grams(t("benchmark"), "item_id"), "g").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("shared"))
+        hashed = lambda i: F.struct(F.xxhash64(F.slice("ws", i, 8)).alias("h"), F.array_join(F.slice("ws", i, 8), " ").alias("g"))
+        return rows.select(key, F.inline(F.transform(F.sequence(F.lit(1), F.size("ws") - 7), hashed)))
+
+    wanted = grams(t("benchmark"), "item_id").distinct()
+    hashes = wanted.select("h").distinct()
+    # Grams that no item has go before anything is shuffled, as long as the
+    # items' hashes are few enough to send to every task.
+    if hashes.count() <= BROADCAST_HASHES:
+        hashes = F.broadcast(hashes)
+    met = grams(t("documents"), "doc_id").join(hashes, "h", "left_semi").distinct()
+    return met.join(wanted, ["h", "g"]).groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("shared"))

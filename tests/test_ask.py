@@ -66,3 +66,25 @@ def test_html(spark):
     assert html_blocks(None) == [] and html_blocks("<td>x</td>") == [{"type": "text", "text": "x"}]
     got = read_html(spark.createDataFrame([(1, page), (2, None)], "page_id int, html string"))
     assert got.count() == 6 and got.filter("text_level = 2").count() == 1
+
+
+def test_image_paths_end_where_they_should(spark):
+    """Delimiters, several labels, line breaks; long blanks cost no more than their length."""
+    import time
+
+    cases = {
+        "Image Path: /a.png is shown": ["/a.png"],
+        "Image Path: /x\nand y.png": [],
+        "Image Path: /a.svg Image Path: /b.png": ["/b.png"],
+        "image path: /a.png.backup\nIMAGE PATH: /c d.JPG.": ["/c d.JPG"],
+        '{"t": "Image Path: /e.webp\\nCaptions: x"}': ["/e.webp"],
+        "no label /a.png": [],
+        "Image Path:" + " " * 20_000 + "x.pngx": [],
+    }
+    began = time.time()
+    for prompt, want in cases.items():
+        assert [prompt[a:b] for a, b in ask.picture_places(prompt)] == want
+    assert time.time() - began < 1
+    rows = spark.createDataFrame([(k, p) for k, p in enumerate(cases)], "k int, p string")
+    got = {r.k: r.x for r in rows.select("k", ask.image_paths(F.col("p")).alias("x")).collect()}
+    assert got == dict(enumerate(cases.values()))

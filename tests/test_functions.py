@@ -210,3 +210,20 @@ def test_evaluation(spark, tmp_path):
     evaluation.save(done, str(tmp_path))
     assert spark.read.json(str(tmp_path / "detail")).first().question == "q" * 120
     assert spark.read.option("header", True).csv(str(tmp_path / "summary")).first().question == "q" * 100 + "..."
+
+
+def test_objects_in_answers():
+    """The least lenient reading wins, a fenced object before others, an inner one only if its outer fails."""
+    read = answers.parse_object
+    assert read('{"a": 1} then ```json\n{"b": {"c": [1, 2.5, true, null]}}\n```') == {"b": {"c": [1, 2.5, True, None]}}
+    assert read('{"x": 1,} and {"y": "s"}') == {"y": "s"}
+    assert read('{"outer": {"inner": 1},}') == {"outer": {"inner": 1}}
+    assert read('{bad {"inner": "\\u00e9\\n"}') == {"inner": "\u00e9\n"}
+    assert read('<think>{"no": 1}</think>{"yes": "} {"}') == {"yes": "} {"}
+    assert read("{" * 3000)["entity_info"]["entity_type"] == "unknown"
+
+
+def test_markup_ends_no_attribute(spark):
+    row = spark.createDataFrame([('[a](u"x) **b** ~~c~~ `d` *e* **open\n__f__',)], "t string")
+    want = '<a href="u&quot;x">a</a> <b>b</b> <s>c</s> <code>d</code> <i>e</i> **open\n<b>f</b>'
+    assert row.select(C.inline_markup(F.col("t")).alias("m")).first().m == want
