@@ -164,7 +164,9 @@ def link_items(hits: DataFrame, items: DataFrame, like: Likeness) -> DataFrame:
     first = settle(first.mapInArrow(compare, schema), "links")
     found = components(first)
 
-    rows = settle(hits.join(found, "item", "left").withColumn("component", F.coalesce("component", "item")), "placed")
+    # Pairs with the hub are settled; what is left are the others of a bucket.
+    others = hits.filter("item <> hub").select("bucket", "item")
+    rows = settle(others.join(found, "item", "left").withColumn("component", F.coalesce("component", "item")), "placed")
     # Rows of a bucket combine before the shuffle: few buckets are still apart.
     apart = rows.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).filter("low <> high").select("bucket", "n")
     rows = rows.join(apart, "bucket")
@@ -173,15 +175,15 @@ def link_items(hits: DataFrame, items: DataFrame, like: Likeness) -> DataFrame:
     rows = rows.withColumn("blocks", blocks).withColumn("mine", mine)
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumns({"x": F.least("mine", "other"), "y": F.greatest("mine", "other")})
-    rows = rows.join(items, "item").select("bucket", "x", "y", "mine", (F.col("item") == F.col("hub")).alias("is_hub"), "item", F.xxhash64("component").alias("component"), "size", "sig", "bands", "body")
+    rows = rows.join(items, "item").select("bucket", "x", "y", "mine", "item", F.xxhash64("component").alias("component"), "size", "sig", "bands", "body")
 
     def small(block: pa.Table, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Pairs (rows i, j) of blocks of few rows that may be links, all blocks at once."""
         i, j = (np.concatenate(x) for x in zip(*[(np.repeat(starts[sizes == n], len(p)) + np.tile(p, (sizes == n).sum()), np.repeat(starts[sizes == n], len(q)) + np.tile(q, (sizes == n).sum())) for n in np.unique(sizes) for p, q in [np.triu_indices(n, 1)]], strict=True))
         column = lambda c: block.column(c).to_numpy()
         matrix = lambda c: block.column(c).combine_chunks().flatten().to_numpy().reshape(len(block), -1)
-        hub, component, mine, size = column("is_hub"), column("component"), column("mine"), column("size").astype(np.int64)
-        keep = ~(hub[i] | hub[j]) & (component[i] != component[j]) & ((column("x") == column("y"))[i] | (mine[i] != mine[j]))
+        component, mine, size = column("component"), column("mine"), column("size").astype(np.int64)
+        keep = (component[i] != component[j]) & ((column("x") == column("y"))[i] | (mine[i] != mine[j]))
         keep &= 100 * np.minimum(size[i], size[j]) >= like.least * np.maximum(size[i], size[j])
         i, j = i[keep], j[keep]
         bands, sig = matrix("bands"), matrix("sig")
@@ -199,7 +201,7 @@ def link_items(hits: DataFrame, items: DataFrame, like: Likeness) -> DataFrame:
 
     def large(block: pa.Table) -> Iterator[tuple[int, int]]:
         """Links (rows i, j) of one block: rows that a link has joined are not compared again."""
-        hub, mine, component, size, sig, bands, body, x, y, bucket = (block.column(c).to_pylist() for c in ("is_hub", "mine", "component", "size", "sig", "bands", "body", "x", "y", "bucket"))
+        mine, component, size, sig, bands, body, x, y, bucket = (block.column(c).to_pylist() for c in ("mine", "component", "size", "sig", "bands", "body", "x", "y", "bucket"))
         parent: dict = {}
 
         def root(c):
@@ -210,8 +212,7 @@ def link_items(hits: DataFrame, items: DataFrame, like: Likeness) -> DataFrame:
         sig, shapes = [number(s) for s in sig], {}
         for i in range(len(body)):
             for j in range(i):
-                # Pairs with the hub were compared in the first round.
-                if hub[i] or hub[j] or not (x[i] == y[i] or mine[i] != mine[j]) or root(component[i]) == root(component[j]) or not like.plausible(size[i], size[j], sig[i], sig[j]):
+                if not (x[i] == y[i] or mine[i] != mine[j]) or root(component[i]) == root(component[j]) or not like.plausible(size[i], size[j], sig[i], sig[j]):
                     continue
                 if next(m for m, n in zip(bands[i], bands[j], strict=True) if m == n) != bucket[i]:
                     continue
