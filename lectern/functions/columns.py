@@ -147,8 +147,9 @@ def image_mime(head: Column) -> Column:
 
 
 def encode_image(content: Column) -> Column:
-    """Base64 of an image; the empty text for anything else."""
-    return F.when(image_mime(content).isNotNull(), F.base64(content)).otherwise("")
+    """Base64 of an image, in one line; the empty text for anything else."""
+    # Spark breaks lines after 76 characters.
+    return F.when(image_mime(content).isNotNull(), F.translate(F.base64(content), "\r\n", "")).otherwise("")
 
 
 def md5_id(prefix: str, text: Column) -> Column:

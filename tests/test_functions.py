@@ -227,3 +227,11 @@ def test_markup_ends_no_attribute(spark):
     row = spark.createDataFrame([('[a](u"x) **b** ~~c~~ `d` *e* **open\n__f__',)], "t string")
     want = '<a href="u&quot;x">a</a> <b>b</b> <s>c</s> <code>d</code> <i>e</i> **open\n<b>f</b>'
     assert row.select(C.inline_markup(F.col("t")).alias("m")).first().m == want
+
+
+def test_long_images_are_encoded_in_one_line(spark):
+    import base64
+
+    content = b"GIF89a" + bytes(range(256))
+    row = spark.createDataFrame([(bytearray(content),)], "c binary").select(C.encode_image(F.col("c")).alias("x")).first()
+    assert row.x == base64.b64encode(content).decode()
