@@ -6,23 +6,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def overlap_join(left: DataFrame, right: DataFrame, key: str, a: tuple[str, str], b: tuple[str, str], width: float) -> DataFrame:
+def overlap_join(left: DataFrame, right: DataFrame, key: str, a: tuple[str, str], b: tuple[str, str], width: float | None = None) -> DataFrame:
     """Pairs of one key whose intervals overlap; touching ends do not.
 
     Both sides go into buckets of ``width``, so the join is an equi-join on
     (key, bucket); a pair is taken in the later of its two first buckets only,
-    which makes it unique without a second shuffle.
+    which makes it unique without a second shuffle. Without a ``width``,
+    buckets are as wide as the intervals are long on average: however long
+    they are, there are three times as many rows at most.
     """
-    first = lambda at: F.floor(F.col(at) / width)
+    if width is None:
+        size = lambda df, s, e: df.select((F.col(e) - F.col(s)).cast("double").alias("__size")).filter("__size > 0")
+        mean = F.coalesce(F.greatest(F.avg("__size"), F.lit(1.0)), F.lit(1.0))
+        wide = F.broadcast(size(left, *a).unionByName(size(right, *b)).agg(mean.alias("__width")))
+        left, right = left.crossJoin(wide), right.crossJoin(wide)
+    else:
+        left, right = (df.withColumn("__width", F.lit(float(width))) for df in (left, right))
+    first = lambda at: F.floor(F.col(at) / F.col("__width"))
     # The last bucket is the one that holds what lies just before the end.
-    spread = lambda s, e: F.sequence(first(s), F.greatest(first(s), F.ceil(F.col(e) / width) - 1))
-    x = left.withColumn("__x", first(a[0])).withColumn("__bucket", F.explode(spread(*a)))
-    y = right.withColumn("__y", first(b[0])).withColumn("__bucket", F.explode(spread(*b)))
-    hit = x.join(y, [key, "__bucket"]).filter((F.col(a[0]) < F.col(b[1])) & (F.col(b[0]) < F.col(a[1])))
+    spread = lambda s, e: F.sequence(first(s), F.greatest(first(s), F.ceil(F.col(e) / F.col("__width")) - 1))
+    x = left.withColumn("__x", first(a[0])).withColumn("__bucket", F.explode(spread(*a))).drop("__width")
+    y = right.withColumn("__y", first(b[0])).withColumn("__bucket", F.explode(spread(*b))).drop("__width")
+    # Spark's estimate leaves out what the buckets add, so it might broadcast any number of rows.
+    hit = x.join(y.hint("merge"), [key, "__bucket"]).filter((F.col(a[0]) < F.col(b[1])) & (F.col(b[0]) < F.col(a[1])))
     return hit.filter(F.col("__bucket") == F.greatest("__x", "__y")).drop("__bucket", "__x", "__y")
 
 
-def texts_in_range(scenes: DataFrame, segments: DataFrame, key: str, width: float = 60.0) -> DataFrame:
+def texts_in_range(scenes: DataFrame, segments: DataFrame, key: str, width: float | None = None) -> DataFrame:
     """(key, scene_idx, transcript): texts of segments that overlap a scene, in order.
 
     ``scenes``: key, scene_idx, start, end. ``segments``: key, seg_idx,
@@ -33,7 +43,7 @@ def texts_in_range(scenes: DataFrame, segments: DataFrame, key: str, width: floa
     return hits.groupBy(key, "scene_idx").agg(F.array_join(F.transform(rows, lambda r: r["text"]), " ").alias("transcript"))
 
 
-def outside(segments: DataFrame, scenes: DataFrame, key: str, ident: str = "seg_idx", width: float = 60.0) -> DataFrame:
+def outside(segments: DataFrame, scenes: DataFrame, key: str, ident: str = "seg_idx", width: float | None = None) -> DataFrame:
     """Segments that overlap no scene."""
     seen = overlap_join(segments, scenes.select(key, "start", "end"), key, ("s_start", "s_end"), ("start", "end"), width)
     return segments.join(seen.select(key, ident).distinct(), [key, ident], "left_anti")

@@ -235,3 +235,21 @@ def test_long_images_are_encoded_in_one_line(spark):
     content = b"GIF89a" + bytes(range(256))
     row = spark.createDataFrame([(bytearray(content),)], "c binary").select(C.encode_image(F.col("c")).alias("x")).first()
     assert row.x == base64.b64encode(content).decode()
+
+
+def test_long_intervals_make_few_bucket_rows_and_are_not_broadcast(spark):
+    scene = [(u, i, 977.0 * i, 977.0 * i + 40.0 * (i % 90)) for u in range(3) for i in range(40)]
+    seg = [(u, i, 613.0 * i, 613.0 * i + 55.0 * (i % 77), f"t{i}") for u in range(3) for i in range(60)]
+    x = spark.createDataFrame(scene, "k long, scene_idx long, start double, end double")
+    y = spark.createDataFrame(seg, "k long, seg_idx long, s_start double, s_end double, text string")
+    want = {(u, i): " ".join(t for v, _, c, d, t in seg if u == v and a < d and c < b) for u, i, a, b in scene}
+    found = intervals.texts_in_range(x, y, "k")
+    assert {(r.k, r.scene_idx): r.transcript for r in found.collect()} == {k: t for k, t in want.items() if t}
+    # Spark would broadcast what it takes for a few rows, however many buckets they fill.
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    alone = {(u, j) for u, j, c, d, _ in seg if not any(u == v and a < d and c < b for v, _, a, b in scene)}
+    assert {(r.k, r.seg_idx) for r in intervals.outside(y, x, "k").collect()} == alone
+    week = spark.createDataFrame([(1, 1, 0.0, 7e5), (1, 2, 10.0, 6e5)], "k long, i long, s double, e double")
+    pairs = intervals.overlap_join(week, week.toDF("k", "j", "c", "d"), "k", ("s", "e"), ("c", "d"))
+    assert pairs.count() == 4
