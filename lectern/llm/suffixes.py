@@ -17,8 +17,8 @@ common anchor need comparing, aligned at it:
    and a string is repeated if another instance shares its class on both sides.
    An anchor with more surroundings than one sort holds is parted: strings
    that start in one range of offsets share all bytes that every string of the
-   range has, so instances that differ there need not meet. Ranges narrow
-   until the parts fit.
+   range has, so instances that differ there need not meet. Where a part is
+   still too large, its strings are counted one by one, by 256-bit digests.
 4. Intervals go back to all instances and to their documents.
 
 Sorting an aligned sample of suffixes is what keeps the work in proportion to
@@ -44,12 +44,13 @@ LENGTH = 400
 #: Bytes of a passage that counts as repeated beside the strings of ``LENGTH``:
 #: about fifty words.
 PASSAGE = 240
-#: Surroundings that one sort holds.
+#: Surroundings that one sort holds, if no group has more.
 ROWS = 8192
 #: Most surroundings of a group that is sorted as it is, and how many offsets
-#: the parts of a larger one span; the last parts, of one offset, hold equal
-#: strings alone and may be cut anywhere.
-MOST, WIDTHS = 32768, (16, 1)
+#: the parts of a larger one span.
+MOST, WIDTH = 8192, 16
+#: Bytes between the prefix hashes of a row.
+STEP = 8
 
 
 def gram_size(shortest: int) -> int:
@@ -102,18 +103,24 @@ def anchors(body: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
     return found, grams[found]
 
 
-def _extension(hashes: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Common extension of rows ``i`` and ``j``: binary search on prefix hashes."""
+def _extension(hashes: np.ndarray, chunks: np.ndarray, sizes: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Common extension of rows ``i`` and ``j``: binary search on prefix hashes, the rest on ``STEP`` bytes."""
     low = np.zeros(len(i), np.int32)
     high = np.full(len(i), hashes.shape[1] - 1, np.int32)
     while True:
         open_ = low < high
         if not open_.any():
-            return low
+            break
         middle = (low + high + 1) >> 1
         same = hashes[i, middle] == hashes[j, middle]
         low = np.where(open_ & same, middle, low)
         high = np.where(open_ & ~same, middle - 1, high)
+    at = np.minimum(low, chunks.shape[1] - 1)
+    differ = chunks[i, at] ^ chunks[j, at]
+    # The lowest bit that differs lies in the first byte that does.
+    bit = np.frexp((differ & (~differ + np.uint64(1))).astype(np.float64))[1] - 1
+    ext = low * STEP + np.where(differ == 0, STEP, bit >> 3)
+    return np.minimum(ext, np.minimum(sizes[i], sizes[j])).astype(np.int32)
 
 
 def _compare_bytes(coded: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -141,16 +148,18 @@ def suffix_sort(group: np.ndarray, rows: np.ndarray, sizes: np.ndarray) -> tuple
     row and the one before it is verified on the bytes; where hashes collided,
     the order is made anew by plain comparison.
     """
+    rows = np.pad(rows, ((0, 0), (0, -rows.shape[1] % STEP)))
     n, depth = rows.shape
+    chunks = rows.view("<u8")
     coded = rows.astype(np.uint16) + np.uint16(1)
     coded[np.arange(depth)[None, :] >= sizes[:, None]] = 0
     up, _ = powers(depth + 1)
-    hashes = np.zeros((n, depth + 1), np.uint64)
+    hashes = np.zeros((n, depth // STEP + 1), np.uint64)
     for at in range(0, n, 1024):
         part = coded[at : at + 1024].astype(np.uint64)
         # Past a row's end its own number stands in: nothing is equal there.
         own = np.arange(at, at + len(part), dtype=np.uint64)[:, None] + np.uint64(1 << 32)
-        np.cumsum(np.where(part > 0, part, own) * up[:depth], axis=1, out=hashes[at : at + len(part), 1:])
+        hashes[at : at + len(part), 1:] = np.cumsum(np.where(part > 0, part, own) * up[:depth], axis=1)[:, STEP - 1 :: STEP]
 
     def before(i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Whether row i sorts before row j; rows that are equal keep their order."""
@@ -158,7 +167,7 @@ def suffix_sort(group: np.ndarray, rows: np.ndarray, sizes: np.ndarray) -> tuple
         tie = np.flatnonzero(group[i] == group[j])
         if len(tie):
             a, b = i[tie], j[tie]
-            ext = _extension(hashes, a, b)
+            ext = _extension(hashes, chunks, sizes, a, b)
             end = ext >= depth
             at = np.minimum(ext, depth - 1)
             x, y = coded[a, at], coded[b, at]
@@ -196,7 +205,7 @@ def suffix_sort(group: np.ndarray, rows: np.ndarray, sizes: np.ndarray) -> tuple
     if n > 1:
         a, b = order[:-1], order[1:]
         same = group[a] == group[b]
-        ext = np.where(same, _extension(hashes, a, b), 0)
+        ext = np.where(same, _extension(hashes, chunks, sizes, a, b), 0)
         shared[1:] = ext
         real, ahead = _compare_bytes(coded, sizes, a, b)
         if (same & ((real != np.minimum(ext, np.minimum(sizes[a], sizes[b]))) | ~ahead)).any():
@@ -297,12 +306,12 @@ def _find_anchors(docs: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
     return docs.mapInArrow(run, f"id {kind}, mark long, place int, until int, n int, ahead int, anchor long, near long")
 
 
-def _compare(rows: DataFrame, lengths: tuple[int, ...], whole: bool) -> DataFrame:
+def _compare(rows: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
     """(anchor, near, offsets for each length) of (key, low, high, anchor, near, n, before, after), by suffix sort.
 
     Tasks hold groups of one ``key`` in blocks of ``ROWS`` rows; a group is
-    kept together, whatever its size, if ``whole``. Offsets from ``low`` to
-    ``high`` are judged, the same for all rows of a key.
+    kept together, whatever its size. Offsets from ``low`` to ``high`` are
+    judged, the same for all rows of a key.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,9 +343,7 @@ def _compare(rows: DataFrame, lengths: tuple[int, ...], whole: bool) -> DataFram
                 fit = edges[edges <= ROWS]
                 if len(fit):
                     cut = int(fit[-1])
-                elif not whole and count > ROWS + 1:
-                    cut = ROWS
-                elif len(edges) and whole:
+                elif len(edges):
                     cut = int(edges[0])
                 else:
                     held = [block]
@@ -351,6 +358,28 @@ def _compare(rows: DataFrame, lengths: tuple[int, ...], whole: bool) -> DataFram
     return rows.repartition("key").sortWithinPartitions("key", "anchor", "near").mapInArrow(run, schema)
 
 
+def _count_strings(parts: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
+    """(anchor, near, offsets for each length) of (low, high, anchor, near, n, before, after), whatever their number.
+
+    A string at one offset repeats if its digest does; digests combine before
+    the shuffle. Rows of one ``anchor`` differ in ``near``.
+    """
+    x, size = F.col("x"), F.col("length")
+    kinds = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(length).alias("length")) for k, length in enumerate(lengths)])
+    each = parts.withColumn("x", F.explode(F.sequence("low", "high"))).select("*", F.inline(kinds))
+    each = each.filter((F.length("before") >= x) & (F.length("after") >= size - x))
+    string = F.concat(F.substring(F.col("before"), F.length("before") - x + 1, x), F.substring(F.col("after"), F.lit(1), size - x))
+    each = settle(each.select("anchor", "near", "low", "n", "k", "x", F.unhex(F.sha2(string, 256)).alias("string")), "strings")
+    key = ["anchor", "k", "x", "string"]
+    often = each.groupBy(*key).agg(F.sum("n").alias("times")).filter("times > 1").drop("times")
+    found = each.join(often, key, "left_semi").groupBy("anchor", "near", "low")
+    # Runs of offsets: where one begins, where one ends.
+    runs = "flatten(zip_with(filter({0}, x -> not array_contains({0}, x - 1)), filter({0}, x -> not array_contains({0}, x + 1)), (a, b) -> array(a, b)))"
+    names = [f"o{k}" for k in range(len(lengths))]
+    offsets = found.agg(*[F.array_sort(F.collect_list(F.when(F.col("k") == k, x))).alias(c) for k, c in enumerate(names)])
+    return offsets.select("anchor", "near", *[F.expr(runs.format(c)).alias(c) for c in names])
+
+
 def _judge(cut: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
     """(anchor, near, offsets for each length) of the surroundings ``cut``, hot anchors parted.
 
@@ -360,24 +389,20 @@ def _judge(cut: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
     shortest = min(lengths)
     reach = shortest - gram_size(shortest)
     rows = cut.select(F.col("anchor").alias("key"), F.lit(0).alias("low"), F.lit(reach).alias("high"), "anchor", "near", "n", "before", "after", "kinds")
-    out = _compare(rows.filter(F.col("kinds") <= MOST).drop("kinds"), lengths, True)
+    out = _compare(rows.filter(F.col("kinds") <= MOST).drop("kinds"), lengths)
     hot = rows.filter(F.col("kinds") > MOST)
     if hot.isEmpty():
         return out
     hot = hot.dropDuplicates(["anchor", "near"])
-    for width in WIDTHS:
-        low = F.explode(F.sequence(F.col("low"), F.col("high"), F.lit(width))).alias("low")
-        parts = hot.select(low, F.col("high").alias("top"), "anchor", "near", "n", "before", "after")
-        parts = parts.withColumn("high", F.least(F.col("low") + (width - 1), F.col("top"))).filter((F.length("before") >= F.col("low")) & (F.length("after") >= shortest - F.col("high")))
-        shared = F.struct("anchor", "low", F.expr("right(hex(before), 2 * low)"), F.expr(f"substring(after, 1, {shortest} - high)"))
-        parts = settle(parts.withColumn("key", F.xxhash64(shared)).select("key", "low", "high", "anchor", "near", "n", "before", "after"), "parts")
-        if width == WIDTHS[-1]:
-            return out.unionByName(_compare(parts, lengths, False))
-        sizes = parts.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.max("n").alias("most")).filter("kinds > 1 or most > 1").drop("most")
-        parts = parts.join(sizes, "key")
-        out = out.unionByName(_compare(parts.filter(F.col("kinds") <= MOST).drop("kinds"), lengths, True))
-        hot = parts.filter(F.col("kinds") > MOST)
-    return out
+    low = F.explode(F.sequence(F.col("low"), F.col("high"), F.lit(WIDTH))).alias("low")
+    parts = hot.select(low, F.col("high").alias("top"), "anchor", "near", "n", "before", "after")
+    parts = parts.withColumn("high", F.least(F.col("low") + (WIDTH - 1), F.col("top"))).filter((F.length("before") >= F.col("low")) & (F.length("after") >= shortest - F.col("high")))
+    shared = F.struct("anchor", "low", F.expr("right(hex(before), 2 * low)"), F.expr(f"substring(after, 1, {shortest} - high)"))
+    parts = settle(parts.withColumn("key", F.xxhash64(shared)).select("key", "low", "high", "anchor", "near", "n", "before", "after"), "parts")
+    sizes = parts.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.max("n").alias("most")).filter("kinds > 1 or most > 1").drop("most")
+    parts = parts.join(sizes, "key")
+    out = out.unionByName(_compare(parts.filter(F.col("kinds") <= MOST).drop("kinds"), lengths))
+    return out.unionByName(_count_strings(parts.filter(F.col("kinds") > MOST), lengths))
 
 
 def _merge(owner: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

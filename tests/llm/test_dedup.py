@@ -213,6 +213,21 @@ def test_two_lengths_at_once(spark):
         assert (r.spans or [], r.passages or []) == (spans_of(want[20][r.doc_id]), spans_of(want[12][r.doc_id]))
 
 
+@pytest.mark.parametrize("most", [1, 24, 10**6])
+def test_large_groups_lose_no_partner(spark, monkeypatch, most):
+    """One short passage in every text; each longer string in two of them, far apart."""
+    monkeypatch.setattr(suffixes, "MOST", most)
+    monkeypatch.setattr(suffixes, "ROWS", 16)
+    rng = random.Random(5)
+    noise = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    core, tails = noise(14), [noise(9) for _ in range(60)]
+    texts = [(k, noise(rng.randint(8, 15)) + core + tails[k % 60] + noise(rng.randint(8, 15))) for k in range(120)]
+    want = {n: brute.repeated_cover(dict(texts), n) for n in (20, 12)}
+    assert sum(map(any, want[20].values())) == 120
+    for r in suffixes.repeated_spans(frame(spark, texts), length=20, passage=12).collect():
+        assert (r.spans or [], r.passages or []) == (spans_of(want[20][r.doc_id]), spans_of(want[12][r.doc_id]))
+
+
 def test_periodic_texts(spark):
     """One row of anchors stands for the equal places of a periodic text."""
     texts = [(1, "a" * 5000), (2, "ab" * 900), (3, "x" + "abc" * 300), (4, "y" * 19)]
