@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import drop_settled, free_name, settle, table
-from .hashing import band_hashes, mix, powers, seeds
-from .links import LOW_BITS, Likeness, collisions, components, link_items, pack_planes
+from .hashing import ODD, band_hashes, mix, seeds
+from .links import Likeness, collisions, components, link_items, pack_planes
 
 SHINGLE = 8
 LEAST = 80
@@ -28,13 +29,10 @@ LEAST = 80
 BANDS, ROWS = 18, 3
 #: Estimates this far below the threshold go; a link is lost so with probability 5e-8.
 MARGIN = 0.42
-BUCKETS = [f"b{k}" for k in range(BANDS)]
-SIGNATURE = [f"p{k}" for k in range(LOW_BITS * -(-BANDS * ROWS // 64))]
-#: Shingles by which a count of hashes may fall short, flags of a line's
-#: table, and tables at a time.
-SLACK, FLAGS, TABLES = 2, 1 << 14, 512
-#: Characters that a block of signatures works on.
-CHARS = 400_000
+#: Shapes of lines that a comparison of many keeps.
+SHAPES = 512
+#: Characters that a block of signatures works on; its arrays stay in the cache.
+CHARS = 64_000
 #: Most bits of the filter that lines pass before an exact join: 16 MB.
 FILTER_BITS = 1 << 27
 BLANK = " \t\n\x0b\x0c\r"
@@ -49,20 +47,23 @@ def _hashes(lines: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
 
     Lines stand in one array, the short filled up to one shingle.
     """
-    counts = np.array([max(1, len(x) - size + 1) for x in lines])
     text = "".join([x.ljust(size, "\0") for x in lines])
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    counts = np.maximum(np.fromiter(map(len, lines), np.int64, len(lines)) - size + 1, 1)
     n = len(codes) - size + 1
-    up, down = powers(len(codes) + 1)
-    sums = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum((codes + np.uint64(1)) * up[: len(codes)], out=sums[1:])
-    lengths = counts + size - 1
-    first = np.cumsum(lengths) - lengths
-    inside = np.zeros(len(codes) + 1, np.int8)
-    inside[first] += 1
-    np.add.at(inside, first + counts, -1)
-    at = np.flatnonzero(np.cumsum(inside, dtype=np.int8)[:n])
-    return mix((sums[at + size] - sums[at]) * down[at]), counts
+    # A polynomial of each place's next 1, 2, 4, ... characters, as ``size`` needs them.
+    run, factor, width, sums, done = codes + np.uint64(1), int(ODD), 1, None, 0
+    while width <= size:
+        if size & width:
+            part = run[done : done + n]
+            sums = part.copy() if sums is None else sums + part * np.uint64(pow(int(ODD), done, 1 << 64))
+            done += width
+        run = run[:-width] + run[width:] * np.uint64(factor)
+        factor, width = factor * factor % (1 << 64), 2 * width
+    inside = np.ones(n, bool)
+    ends = np.cumsum(counts + size - 1)[:-1]
+    inside[(ends[:, None] - np.arange(1, size)).ravel()] = False
+    return mix(sums[inside]), counts
 
 
 def _parts(lines: list[str]) -> Iterator[list[str]]:
@@ -93,68 +94,75 @@ def line_minima(lines: list[str], size: int = SHINGLE) -> np.ndarray:
     return np.concatenate(out)
 
 
-def line_sets(lines: list[str], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of each line, line after line, and how many each has.
-
-    Hashes keep the bits that a line's number leaves of 64, so one plain sort
-    does; a line's count may fall short by a collision, hence ``SLACK``.
-    """
-    hashes, counts = _hashes(lines, size)
-    room = np.uint64(64 - max(1, len(lines).bit_length()))
-    owner = np.repeat(np.arange(len(lines), dtype=np.uint64), counts)
-    keys = np.sort(owner << room | hashes >> (np.uint64(64) - room))
-    keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
-    return keys & ((np.uint64(1) << room) - np.uint64(1)), np.bincount((keys >> room).astype(np.int64), minlength=len(lines))
+def _bytes(*lines: str) -> list[bytes] | None:
+    """``lines`` with a byte for each character, the same in all; None if 256 bytes are too few."""
+    letters, at = np.unique(np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4"), return_inverse=True)
+    if len(letters) > 256:
+        return None
+    ends = np.cumsum([0, *map(len, lines)])
+    return [at[i:j].astype(np.uint8).tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def _keys(data: bytes, size: int) -> np.ndarray:
+    """The distinct strings of ``size`` bytes, 8 at most, as ascending integers."""
+    keys = np.ndarray((len(data) - size + 1,), "<u8", data + bytes(8 - size), strides=(1,)) & np.uint64((1 << 8 * size) - 1)
+    keys.sort()
+    new = np.empty(len(keys), bool)
+    new[0] = True
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    return keys[new]
+
+
+def line_shape(line: str, size: int = SHINGLE) -> tuple[str, np.ndarray | None]:
+    """The line and, where a shingle's characters fit the bytes of an integer, its distinct shingles."""
+    if size > 8 or len(line) < size:
+        return line, None
+    try:
+        return line, _keys(line.encode("latin-1"), size)
+    except UnicodeEncodeError:
+        return line, None
+
+
+def shingle_count(line: str, size: int = SHINGLE) -> int:
+    """How many distinct shingles ``line`` has."""
+    keys = line_shape(line, size)[1]
+    if keys is None and len(line) >= size and size <= 8 and (data := _bytes(line)):
+        keys = _keys(data[0], size)
+    return len(line_shingles(line, size) if keys is None else keys)
+
+
+def alike(x: tuple[str, np.ndarray | None], y: tuple[str, np.ndarray | None], least: int = LEAST, size: int = SHINGLE) -> bool:
+    """Whether two shapes of lines link: exact, since keys are the shingles themselves."""
+    (line, a), (other, b) = x, y
+    if a is None or b is None:
+        data = _bytes(line, other) if size <= 8 and min(len(line), len(other)) >= size else None
+        if data is None:
+            p, q = line_shingles(line, size), line_shingles(other, size)
+            return 100 * len(p & q) >= least * len(p | q)
+        a, b = (_keys(d, size) for d in data)
+    if 100 * min(len(a), len(b)) < least * max(len(a), len(b)):
+        return False
+    met = np.concatenate((a, b))
+    met.sort()
+    both = int(np.count_nonzero(met[1:] == met[:-1]))
+    return 100 * both >= least * (len(met) - both)
 
 
 def similar_lines(left: list[str], right: list[str], least: int = LEAST, size: int = SHINGLE) -> np.ndarray:
-    """Whether each pair of lines links.
-
-    Common hashes are counted from above, by a table of flags for each line on
-    the left; pairs that this leaves are confirmed on their shingles.
-    """
-    out = np.zeros(len(left), bool)
-    place = {x: k for k, x in enumerate(dict.fromkeys([*left, *right]))}
-    values, counts = [], []
-    for part in _parts(list(place)):
-        found, each = line_sets(part, size)
-        values.append((found & np.uint64(FLAGS - 1)).astype(np.int32))
-        counts.append(each)
-    if not counts:
-        return out
-    values, counts = np.concatenate(values), np.concatenate(counts)
-    first = np.cumsum(counts) - counts
-    a, b = (np.array([place[x] for x in side]) for side in (left, right))
-    fits = np.flatnonzero(100 * (np.minimum(counts[a], counts[b]) + SLACK) >= least * np.maximum(counts[a], counts[b]))
-    fits = fits[np.argsort(a[fits], kind="stable")]
-    spread = lambda rows: np.repeat(first[rows] - (np.cumsum(counts[rows]) - counts[rows]), counts[rows]) + np.arange(int(counts[rows].sum()))
-    hubs, of = np.unique(a[fits], return_inverse=True)
-    for at in range(0, len(hubs), TABLES):
-        some = hubs[at : at + TABLES]
-        flags = np.zeros((len(some), FLAGS), bool)
-        flags[np.repeat(np.arange(len(some)), counts[some]), values[spread(some)]] = True
-        low, high = np.searchsorted(of, [at, at + TABLES])
-        for start in range(low, high, TABLES):
-            part = slice(start, min(start + TABLES, high))
-            pair, other = of[part] - at, b[fits[part]]
-            met = flags[np.repeat(pair, counts[other]), values[spread(other)]]
-            both = np.add.reduceat(met, np.cumsum(counts[other]) - counts[other], dtype=np.int64) + SLACK
-            out[fits[part]] = 100 * both >= least * (counts[hubs[of[part]]] + counts[other] - both)
-    for k in np.flatnonzero(out):
-        x, y = line_shingles(left[k], size), line_shingles(right[k], size)
-        out[k] = 100 * len(x & y) >= least * len(x | y)
-    return out
+    """Whether each pair of lines links."""
+    shape = lru_cache(SHAPES)(lambda line: line_shape(line, size))
+    return np.fromiter((alike(shape(x), shape(y), least, size) for x, y in zip(left, right, strict=True)), bool, len(left))
 
 
 def _each_line(bodies: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
     """Row and line number of every line with a word, the stripped lines, and their 128-bit digests (lines, 2)."""
     owner, number, lines = [], [], []
     for row, body in enumerate(bodies):
-        for k, line in enumerate((body or "").split("\n")):
-            if line := line.strip(BLANK):
-                owner.append(row)
-                number.append(k)
-                lines.append(line)
+        found = [x.strip(BLANK) for x in (body or "").split("\n")]
+        at = [k for k, x in enumerate(found) if x]
+        owner += [row] * len(at)
+        number += at
+        lines += [found[k] for k in at]
     codes = b"".join([hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=16).digest() for x in lines])
     return np.array(owner, np.int64), np.array(number, np.int32), lines, np.frombuffer(codes, "<i8").reshape(-1, 2)
 
@@ -166,7 +174,7 @@ def _marked(df: DataFrame, id_col: str, text: str) -> DataFrame:
 
 
 def _lines(docs: DataFrame, banded: bool) -> DataFrame:
-    """(id, mark, line, c1, c2) of each line with a word; sig and b0.. if ``banded``."""
+    """(id, mark, line, c1, c2) of each line with a word; its arrays sig and bands if ``banded``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,13 +185,13 @@ def _lines(docs: DataFrame, banded: bool) -> DataFrame:
                 columns = [part.column(0).take(owner), part.column(1).take(owner), pa.array(number), *[pa.array(codes[:, k]) for k in (0, 1)]]
                 if banded:
                     minima = line_minima(lines)
-                    bands = band_hashes(minima, ROWS)
-                    columns += [pa.array(np.ascontiguousarray(c)) for c in (*pack_planes(minima).T, *bands.T)]
+                    for words in (pack_planes(minima), band_hashes(minima, ROWS)):
+                        columns.append(pa.ListArray.from_arrays(pa.array(np.arange(len(lines) + 1, dtype=np.int32) * words.shape[1]), pa.array(words.ravel())))
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     kind = docs.schema["id"].dataType.simpleString()
-    names = ["id", "mark", "line", "c1", "c2", *([*SIGNATURE, *BUCKETS] if banded else [])]
-    return docs.mapInArrow(run, f"id {kind}, mark long, line int, " + ", ".join(f"{c} long" for c in names[3:]))
+    names = ["id", "mark", "line", "c1", "c2", *(["sig", "bands"] if banded else [])]
+    return docs.mapInArrow(run, f"id {kind}, mark long, line int, c1 long, c2 long" + ", sig array<bigint>, bands array<bigint>" * banded)
 
 
 def _filter(keys: DataFrame) -> np.ndarray:
@@ -227,8 +235,7 @@ def _sized(items: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bodies = batch.column(batch.schema.get_field_index("body")).to_pylist()
-            counts = [np.empty(0, np.int64), *[line_sets(part)[1] for part in _parts(bodies)]]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(counts).astype(np.int32))], [*batch.schema.names, "size"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([shingle_count(x) for x in bodies], pa.int32())], [*batch.schema.names, "size"])
 
     return items.mapInArrow(run, T.StructType([*items.schema, T.StructField("size", T.IntegerType())]))
 
@@ -237,19 +244,14 @@ def _fates(df: DataFrame, id_col: str, text: str, least: int) -> DataFrame:
     """(id, mark, line, keep): lines of classes of two or more; ``keep`` is the place (id, line, mark) kept."""
     docs = _marked(df, id_col, text)
     place = F.struct("id", "line", "mark")
-    grouped = _lines(docs, True).groupBy("c1", "c2").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in (*SIGNATURE, *BUCKETS)])
+    grouped = _lines(docs, True).groupBy("c1", "c2").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("sig", "bands")])
     # A number for each class, fixed by being written: one long in every bucket row.
     classes = settle(grouped.withColumn("item", F.monotonically_increasing_id()), "classes")
-    bands = F.array(*BUCKETS)
-    hits = collisions(classes.select(F.explode(bands).alias("bucket"), "item"))
-    known = settle(classes.select("c1", "c2", "item", bands.alias("bands"), F.array(*SIGNATURE).alias("sig")).join(hits.select("item").distinct(), "item", "left_semi"), "known")
+    hits = collisions(classes.select(F.explode("bands").alias("bucket"), "item"))
+    known = settle(classes.select("c1", "c2", "item", "bands", "sig").join(hits.select("item").distinct(), "item", "left_semi"), "known")
     items = settle(_sized(known.join(_bodies(docs, known), ["c1", "c2"]).drop("c1", "c2")), "items")
 
-    def similar(a: frozenset, b: frozenset) -> bool:
-        both = len(a & b)
-        return 100 * both >= least * (len(a) + len(b) - both)
-
-    like = Likeness(line_shingles, similar, least, least / 100 - MARGIN, BANDS * ROWS, lambda left, right: similar_lines(left, right, least))
+    like = Likeness(line_shape, lambda x, y: alike(x, y, least), least, least / 100 - MARGIN, BANDS * ROWS, lambda left, right: similar_lines(left, right, least))
     joined = components(link_items(hits, items, like))
     for done in (hits, known, items):
         drop_settled(done)

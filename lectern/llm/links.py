@@ -23,19 +23,61 @@ from .common import drop_settled, settle
 
 #: Items of a block; a task of the second round holds two blocks.
 BLOCK = 512
-#: Items of a block whose pairs are all looked at together.
-FEW = 16
+#: Items of a block whose pairs are all looked at together, and about how many
+#: pairs of a larger one are.
+FEW, PAIRS = 16, 1 << 17
+#: Rows of one bucket that a task holds to find the hub.
+HELD = 1 << 20
 LOW_BITS = 2
 
 
 def collisions(buckets: DataFrame) -> DataFrame:
-    """(bucket, item) to (bucket, item, hub) for buckets of two items or more.
+    """(bucket, item), both long, to (bucket, item, hub) for buckets of two items or more.
 
-    ``hub`` is the least item. One shuffle, by bucket; rows are two keys, and
-    a large bucket spills. Settled.
+    ``hub`` is the least item; of a bucket with more than ``HELD`` rows, the
+    least of those that its task reads first. One shuffle, by bucket; rows are
+    two keys, and the sort spills. Settled.
     """
-    w = Window.partitionBy("bucket")
-    return settle(buckets.withColumns({"hub": F.min("item").over(w), "top": F.max("item").over(w)}).filter("hub <> top").drop("top"), "collisions")
+    most = HELD
+
+    def rows_of(bucket: np.ndarray, item: np.ndarray) -> pa.RecordBatch:
+        """Rows of whole buckets."""
+        starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        hub = np.minimum.reduceat(item, starts)
+        sizes = np.diff(np.append(starts, len(bucket)))
+        keep = np.repeat(hub != np.maximum.reduceat(item, starts), sizes)
+        return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (bucket, item, np.repeat(hub, sizes))], ["bucket", "item", "hub"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        known = None
+        for batch in batches:
+            bucket, item = (batch.column(k).to_numpy() for k in (0, 1))
+            if known is not None:
+                # The rest of a bucket too large to hold, whose hub is given out.
+                end = int(np.searchsorted(bucket, known[0], "right"))
+                if end:
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket[:end]), pa.array(item[:end]), pa.array(np.full(end, known[1]))], ["bucket", "item", "hub"])
+                    bucket, item = bucket[end:], item[end:]
+                if len(bucket):
+                    known = None
+            if not len(bucket):
+                continue
+            # The last bucket may go on in the next batch.
+            last = int(np.searchsorted(bucket, bucket[-1]))
+            if last or (held and held[0][0][0] != bucket[0]):
+                yield rows_of(*(np.concatenate([*[h[k] for h in held], c[:last]]) for k, c in enumerate((bucket, item))))
+                held = []
+            held.append((bucket[last:], item[last:]))
+            if sum(len(h[0]) for h in held) > most:
+                bucket, item = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+                if item.min() != item.max():
+                    yield rows_of(bucket, item)
+                    known, held = (bucket[0], item.min()), []
+        if held:
+            yield rows_of(*(np.concatenate([h[k] for h in held]) for k in (0, 1)))
+
+    return settle(buckets.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "bucket long, item long, hub long"), "collisions")
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -131,11 +173,8 @@ class Likeness:
             out[i] = self.similar(held, self.shape(y))
         return out
 
-    def plausible(self, n: int, m: int, x: int, y: int) -> bool:
-        return 100 * min(n, m) >= self.least * max(n, m) and estimate(x, y, self.count) >= self.floor
-
     def rules_in(self, a: str, b: str) -> Column:
-        """``plausible`` of the columns size_a, sig_a and size_b, sig_b."""
+        """Whether the columns size_a, sig_a and size_b, sig_b allow a link."""
         n, m = F.col(f"size_{a}"), F.col(f"size_{b}")
         return (100 * F.least(n, m) >= self.least * F.greatest(n, m)) & (estimated(F.col(f"sig_{a}"), F.col(f"sig_{b}"), self.count) >= self.floor)
 
@@ -148,7 +187,6 @@ def link_items(hits: DataFrame, items: DataFrame, like: Likeness) -> DataFrame:
     """
     kind = items.schema["item"].dataType.simpleString()
     schema = f"a {kind}, b {kind}"
-    number = lambda sig: int.from_bytes(np.array(sig, "<i8").tobytes(), "little")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,51 +215,61 @@ def link_items(hits: DataFrame, items: DataFrame, like: Likeness) -> DataFrame:
     rows = rows.withColumns({"x": F.least("mine", "other"), "y": F.greatest("mine", "other")})
     rows = rows.join(items, "item").select("bucket", "x", "y", "mine", "item", F.xxhash64("component").alias("component"), "size", "sig", "bands", "body")
 
-    def small(block: pa.Table, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    def filtered(block: pa.Table) -> Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """What leaves of pairs (rows i, j) of ``block`` those that may be links."""
+        component, mine, size, bucket, x, y = (block.column(c).to_numpy() for c in ("component", "mine", "size", "bucket", "x", "y"))
+        bands, sig = (block.column(c).combine_chunks().flatten().to_numpy().reshape(len(block), -1) for c in ("bands", "sig"))
+        size, alone, words = size.astype(np.int64), x == y, -(-like.count // 64)
+        chance = 2.0 ** -(sig.shape[1] // words)
+
+        def fit(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            keep = (component[i] != component[j]) & (alone[i] | (mine[i] != mine[j]))
+            i, j = i[keep], j[keep]
+            keep = 100 * np.minimum(size[i], size[j]) >= like.least * np.maximum(size[i], size[j])
+            i, j = i[keep], j[keep]
+            differ = (sig[i] ^ sig[j]).reshape(len(i), sig.shape[1] // words, words)
+            some = np.bitwise_or.reduce(differ, axis=1).view(np.uint64)
+            agree = 1 - np.bitwise_count(some).sum(axis=1) / like.count
+            keep = (agree - chance) / (1 - chance) >= like.floor
+            i, j = i[keep], j[keep]
+            # A pair that shares several buckets is compared in the first.
+            same = bands[i] == bands[j]
+            keep = bands[i, same.argmax(axis=1)] == bucket[i]
+            return i[keep], j[keep]
+
+        return fit
+
+    def small(block: pa.Table, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (rows i, j) of blocks of few rows that may be links, all blocks at once."""
         i, j = (np.concatenate(x) for x in zip(*[(np.repeat(starts[sizes == n], len(p)) + np.tile(p, (sizes == n).sum()), np.repeat(starts[sizes == n], len(q)) + np.tile(q, (sizes == n).sum())) for n in np.unique(sizes) for p, q in [np.triu_indices(n, 1)]], strict=True))
-        column = lambda c: block.column(c).to_numpy()
-        matrix = lambda c: block.column(c).combine_chunks().flatten().to_numpy().reshape(len(block), -1)
-        component, mine, size = column("component"), column("mine"), column("size").astype(np.int64)
-        keep = (component[i] != component[j]) & ((column("x") == column("y"))[i] | (mine[i] != mine[j]))
-        keep &= 100 * np.minimum(size[i], size[j]) >= like.least * np.maximum(size[i], size[j])
-        i, j = i[keep], j[keep]
-        bands, sig = matrix("bands"), matrix("sig")
-        # A pair that shares several buckets is compared in the first.
-        same = bands[i] == bands[j]
-        keep = bands[i, same.argmax(axis=1)] == column("bucket")[i]
-        i, j = i[keep], j[keep]
-        words = -(-like.count // 64)
-        differ = (sig[i] ^ sig[j]).reshape(len(i), sig.shape[1] // words, words)
-        some = np.bitwise_or.reduce(differ, axis=1).view(np.uint64)
-        agree = 1 - np.bitwise_count(some).sum(axis=1) / like.count
-        chance = 2.0 ** -(sig.shape[1] // words)
-        keep = (agree - chance) / (1 - chance) >= like.floor
-        return np.stack([i[keep], j[keep]])
+        return filtered(block)(i, j)
 
     def large(block: pa.Table) -> Iterator[tuple[int, int]]:
         """Links (rows i, j) of one block: rows that a link has joined are not compared again."""
-        mine, component, size, sig, bands, body, x, y, bucket = (block.column(c).to_pylist() for c in ("mine", "component", "size", "sig", "bands", "body", "x", "y", "bucket"))
+        fit, component, body = filtered(block), block.column("component").to_pylist(), block.column("body")
         parent: dict = {}
+        shapes: dict = {}
 
         def root(c):
             while c in parent:
                 c = parent[c]
             return c
 
-        sig, shapes = [number(s) for s in sig], {}
-        for i in range(len(body)):
-            for j in range(i):
-                if not (x[i] == y[i] or mine[i] != mine[j]) or root(component[i]) == root(component[j]) or not like.plausible(size[i], size[j], sig[i], sig[j]):
-                    continue
-                if next(m for m, n in zip(bands[i], bands[j], strict=True) if m == n) != bucket[i]:
+        step = max(1, PAIRS // len(block))
+        for at in range(0, len(block), step):
+            each = np.arange(at, min(at + step, len(block)))
+            i = np.repeat(each, each)
+            j = np.arange(len(i)) - np.repeat(np.cumsum(each) - each, each)
+            for p, q in zip(*(x.tolist() for x in fit(i, j)), strict=True):
+                a, b = root(component[p]), root(component[q])
+                if a == b:
                     continue
-                for k in (i, j):
+                for k in (p, q):
                     if k not in shapes:
-                        shapes[k] = like.shape(body[k])
-                if like.similar(shapes[i], shapes[j]):
-                    parent[root(component[i])] = root(component[j])
-                    yield i, j
+                        shapes[k] = like.shape(body[k].as_py())
+                if like.similar(shapes[p], shapes[q]):
+                    parent[a] = b
+                    yield p, q
 
     def links_of(block: pa.Table) -> pa.RecordBatch:
         """Links of whole blocks (bucket, x, y), rows in that order."""
